@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
-from .common import table
+from . import simhash, tokens
+from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +16,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    tokens.write_token_files(table(spark, sf_dir, "documents"), path)
+    return tokens.read_token_files(spark, path, with_ids=False)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_token_files": op2_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
