@@ -186,13 +186,13 @@ def unpack_ranks(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarra
     return values
 
 
-_BLOCK = struct.Struct("<IQQQ")
+_BLOCK = "<IQQQ"
 
 
 def _write_block(out, ids: list[int | None], pieces: list[bytes], rank_of: np.ndarray) -> None:
     ranks = rank_of[np.frombuffer(b"".join(pieces), dtype="<u4")]
     control, data = pack_ranks(ranks)
-    out.write(_BLOCK.pack(len(ids), len(ranks), len(control), len(data)))
+    out.write(struct.pack(_BLOCK, len(ids), len(ranks), len(control), len(data)))
     out.write(np.array([x or 0 for x in ids], dtype="<i8").tobytes())
     out.write(np.array([x is None for x in ids], dtype=np.uint8).tobytes())
     out.write(np.array([len(x) // 4 for x in pieces], dtype="<u4").tobytes())
@@ -204,8 +204,8 @@ def read_blocks(source) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
     """Document ids, null flags, tokens per document and ranks of each block of an open file."""
     if source.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
-    while head := source.read(_BLOCK.size):
-        docs, tokens, n_control, n_data = _BLOCK.unpack(head)
+    while head := source.read(struct.calcsize(_BLOCK)):
+        docs, tokens, n_control, n_data = struct.unpack(_BLOCK, head)
         ids = np.frombuffer(source.read(8 * docs), dtype="<i8")
         null = np.frombuffer(source.read(docs), dtype=np.uint8)
         lengths = np.frombuffer(source.read(4 * docs), dtype="<u4").astype(np.int64)
