@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, tokens
+from . import packing, simhash, tokens
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,15 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(spark, path, with_ids=False)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op2_token_files": op2_token_files,
+        "op8_best_fit_packing": op8_best_fit_packing,
     }
 
 
