@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, tokens
+from . import packing, perplexity, simhash, tokens
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +26,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return perplexity.verdicts(documents, perplexity.fit_rules(documents))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op2_token_files": op2_token_files,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
