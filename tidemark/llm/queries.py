@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, perplexity, pii, simhash, tokens
+from . import classifier, mixing, packing, perplexity, pii, simhash, tokens, unit_dedup
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,23 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(spark, path, with_ids=False)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_probability")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
@@ -39,7 +52,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op2_token_files": op2_token_files,
+        "op3_source_mixing": op3_source_mixing,
         "op4_personal_data": op4_personal_data,
+        "op5_unit_dedup": op5_unit_dedup,
+        "op6_quality_classifier": op6_quality_classifier,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
     }
