@@ -29,15 +29,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, a lost executor costs no recomputation.
+
+    Iterations use this rather than ``checkpoint``, which keeps the plan's size estimate: over some
+    rounds of joins that grows beyond any bound, a table's is its size.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._tidemark_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df``, once nothing reads it any more."""
+    remove_path(df.sparkSession, df._tidemark_path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, for narrow tables inside iterations."""
+    """Reliable checkpoint in the shared folder, for narrow tables; Spark deletes it when it is out of use."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 

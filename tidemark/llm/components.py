@@ -2,7 +2,7 @@
 
 Each round lets every node point at the smallest node it knows; the number of rounds grows with the logarithm of
 the component's diameter. Hubs are aggregated before the shuffle, and the joins are plain equi-joins,
-which adaptive execution splits where a hub is hot. State is cut by reliable checkpoints.
+which adaptive execution splits where a hub is hot. State is a table in the shared folder, written each round.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,11 +34,12 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node``, ``root`` (smallest node of the component) for each node of ``links`` (src, dst). No row for others."""
     ordered = links.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    edges = checkpointed(ordered.where("src <> dst").distinct())
+    edges = materialise(ordered.where("src <> dst").distinct(), "links")
     before = _state(edges)
     if before[0]:
         for _ in range(max_rounds):
-            edges = checkpointed(_star(_star(edges, large=True), large=False))
+            old, edges = edges, materialise(_star(_star(edges, large=True), large=False), "stars")
+            discard(old)
             after = _state(edges)
             if after == before:
                 break
