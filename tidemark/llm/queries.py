@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import classifier, mixing, packing, perplexity, pii, simhash, tokens, unit_dedup
+from . import classifier, mixing, neighbours, packing, perplexity, pii, simhash, tokens, unit_dedup
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.verdicts(documents, perplexity.fit_rules(documents))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -58,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_classifier": op6_quality_classifier,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
