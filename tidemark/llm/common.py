@@ -37,13 +37,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    return table_at(spark, path, df.schema)
+
+
+def table_at(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at a scratch path, which ``discard`` deletes."""
+    back = spark.read.schema(schema).parquet(path)
     back._tidemark_path = path
     return back
 
 
 def discard(df: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for ``df``, once nothing reads it any more."""
+    """Delete the scratch table that ``df`` reads, once nothing reads it any more."""
     remove_path(df.sparkSession, df._tidemark_path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, mixing, neighbours, packing, perplexity, pii, simhash, tokens, unit_dedup
+from . import classifier, mixing, neighbours, packing, perplexity, pii, simhash, substrings, tokens, unit_dedup
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op4_personal_data": op4_personal_data,
         "op5_unit_dedup": op5_unit_dedup,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
         "op10_nearest_neighbours": op10_nearest_neighbours,
