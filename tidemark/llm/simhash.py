@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpointed
 from .components import connected_components
@@ -219,9 +220,14 @@ def near_duplicate_groups(
 def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Rows of ``df`` whose id is the smallest of its near-duplicate group; all columns as they were.
 
-    Rows that repeat the kept id are one document given twice: the first in the order of all columns' hash stays.
-    Rows with a null id can't be told apart, so they stay.
+    Of rows that repeat the kept id, one stays: the first in the order of a hash of all columns. Rows with a null id
+    can't be told apart, so they stay.
     """
     groups = near_duplicate_groups(df, id_col, text_col, radius)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(kept, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = checkpointed(kept)
+    rows = df.join(kept.select(id_col), id_col, "left_semi").select(df.columns)
+    if not kept.where(F.col("__rows") > 1).isEmpty():
+        rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*df.columns)))
+        rows = rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return rows.unionByName(df.where(F.col(id_col).isNull()))
