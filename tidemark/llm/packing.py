@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import END_ID, encoder
+from .tokens import END_ID, encoder, groups
 
 LENGTH = 1024
 ITEMS_PER_TASK = 200_000
@@ -49,18 +49,19 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = memoryview(encode(text.as_py() or "") + end)
-                total = len(data) // 4
-                cuts = [0, *range(total % length or length, total + 1, length)]
-                for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    rows.append((doc_id, piece, a, b - a, zlib.crc32(data[4 * a : 4 * b])))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            columns = zip(*rows, strict=True) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
-            )
+            at = 0
+            for texts in groups(batch.column(1)):
+                rows: list[tuple] = []
+                for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encode(texts), strict=True):
+                    data = memoryview(ids + end)
+                    total = len(data) // 4
+                    cuts = [0, *range(total % length or length, total + 1, length)]
+                    for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        rows.append((doc_id, piece, a, b - a, zlib.crc32(data[4 * a : 4 * b])))
+                at += len(texts)
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                arrays = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _PIECE_SCHEMA)

@@ -4,7 +4,7 @@ Encoding. A byte-level BPE vocabulary splits a text before its merges, and alway
 non-space follows. So a text is cut there, every distinct piece goes through the tokenizers library once per
 worker, and the ids of a text are the ids of its pieces, one after another: the library's own result.
 
-Files. Ids are replaced by their frequency rank over the whole input, and ranks are written with one to four
+Files. The ids of the texts are kept once, compressed, until the files are there. Ids are replaced by their frequency rank over the whole input, and ranks are written with one to four
 bytes each. Their lengths sit apart in control bytes (two bits a rank, four ranks a byte), so that a block is decoded
 without branches: numpy looks all lengths up in a table of 256 rows. A file holds blocks of about a million tokens:
 
@@ -15,7 +15,7 @@ Documents are in ascending id order over all the files. ``manifest`` (Parquet, w
 files of failed or repeated task attempts are never read; ``dictionary`` (Parquet) has the id of each rank.
 
 Defined cases: a null or empty text has no ids (and only the end id where one is asked for); a null id comes first;
-rows with equal ids are ordered by text; an empty table gives a manifest without rows; other columns are ignored.
+rows with equal ids are ordered by a hash of the text; an empty table gives a manifest without rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ import re
 import struct
 import uuid
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +35,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import remove_path, scratch_path
 from .worker import file_system, per_worker
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
-CACHE_BYTES = 200 << 20
+TOKENS_PER_FILE = 1 << 23
+CACHE_BYTES = 250 << 20
 LONG_PIECE = 64
 MAGIC = b"TIDEIDS1"
 
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _SPACE = re.compile(r"\s")
+_MARKS = ".,;:!?\n"
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_WORD = re.compile(rf"({_LETTERS})([.,;:!?]?)(?:\n({_LETTERS})([.,;:!?]?))?\Z")
 
 
 class PieceEncoder:
@@ -53,13 +59,17 @@ class PieceEncoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.spaced = np.zeros(self.size, dtype=bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.mapped = {code: as_bytes(chr(code))[0][0] for code in range(192, 256)}
+        self.merges = self.tokenizer.model
+        self.marks = {"": b"", **dict(zip(_MARKS, self.library(list(_MARKS)), strict=True))}
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -73,57 +83,71 @@ class PieceEncoder:
         return first, rest
 
     def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Ids of the pieces (each behind a space) that aren't known yet; remembered while there is room."""
-        missing = [piece for piece in pieces if piece not in self.known]
-        plain = [piece for piece in missing if len(piece) <= LONG_PIECE and not _SPACE.search(piece)]
+        """Ids of pieces (each behind a space) that aren't known yet; remembered while there is room."""
         found: dict[str, bytes] = {}
-        if plain:  # one text; a piece begins where a token begins with a space
+        others: list[str] = []
+        word_of, known, merges, mapped, marks = _WORD.match, self.known, self.merges.tokenize, self.mapped, self.marks
+        for piece in pieces:  # the split in front of the merges keeps words, a mark behind a word and a line's end apart
+            if not (match := word_of(piece)):
+                others.append(piece)
+                continue
+            word, mark, next_word, next_mark = match.groups()
+            if not (ids := known.get(word)):
+                tokens = merges("\u0120" + (word if word.isascii() else word.translate(mapped)))
+                ids = array("I", [token.id for token in tokens]).tobytes()
+            if next_word:
+                tokens = merges(next_word if next_word.isascii() else next_word.translate(mapped))
+                ids += marks[mark] + marks["\n"] + array("I", [token.id for token in tokens]).tobytes()
+                mark = next_mark
+            found[piece] = ids + marks[mark]
+        plain = [piece for piece in others if not _SPACE.search(piece)]
+        if plain:  # as one text; a piece begins where a token begins with a space
             ids = np.frombuffer(self.library([" " + " ".join(plain)])[0], dtype="<u4")
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(plain):
                 data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                found = {piece: data[cuts[k] : cuts[k + 1]] for k, piece in enumerate(plain)}
-        odd = [piece for piece in missing if piece not in found]
+                found |= {piece: data[cuts[k] : cuts[k + 1]] for k, piece in enumerate(plain)}
+        odd = [piece for piece in others if piece not in found]
         if odd:
             found |= zip(odd, self.library([f" {piece}" for piece in odd]), strict=True)
         if self.held < CACHE_BYTES:
             kept = {piece: ids for piece, ids in found.items() if len(piece) <= LONG_PIECE}
-            self.known |= kept
-            self.held += sum(220 + len(piece) + len(ids) for piece, ids in kept.items())
+            known |= kept
+            self.held += 250 * len(kept)
         return found
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(token in text for token in self.special):  # these are matched before the text is split
-            return self.library([text])[0]
-        first, rest = self.pieces(text)
-        head = self.library([first])[0] if first else b""
-        try:
-            return head + b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            known, found = self.known, self.learn(set(rest))
-            return head + b"".join([found[p] if p in found else known[p] for p in rest])
-
-    def count(self, texts: list[str]) -> np.ndarray:
-        """How often each id occurs in all the texts: each distinct piece is encoded once."""
-        total = np.zeros(self.size, dtype=np.int64)
-        pieces: Counter[str] = Counter()
-        whole: list[bytes] = []
-        for text in texts:
-            if any(token in text for token in self.special):
-                whole.append(self(text))
-                continue
-            first, rest = self.pieces(text)
-            pieces.update(rest)
-            if first:
-                whole.append(self.library([first])[0])
-        found = self.learn(pieces)
-        coded = [found[p] if p in found else self.known[p] for p in pieces]
-        times = np.repeat(np.fromiter(pieces.values(), np.int64, len(pieces)), [len(c) // 4 for c in coded])
-        for ids, weights in ((b"".join(coded), times), (b"".join(whole), None)):
-            total += np.bincount(np.frombuffer(ids, dtype="<u4"), weights=weights, minlength=self.size).astype(np.int64)
-        return total
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Pieces of many texts are looked up together, so that the library is called seldom."""
+        whole = [any(token in text for token in self.special) for text in texts]  # these are matched before the text is split
+        cut = [self.pieces("" if w else text) for text, w in zip(texts, whole, strict=True)]
+        heads = self.library([text if w else first for text, w, (first, _) in zip(texts, whole, cut, strict=True)])
+        flat = list(chain.from_iterable(rest for _, rest in cut))
+        coded = list(map(self.known.get, flat))
+        if None in coded:
+            missing = [k for k, ids in enumerate(coded) if ids is None]
+            found = self.learn(dict.fromkeys(flat[k] for k in missing))
+            for k in missing:
+                coded[k] = found[flat[k]]
+        out, at = [], 0
+        for head, (_, rest) in zip(heads, cut, strict=True):
+            out.append(head + b"".join(coded[at : at + len(rest)]))
+            at += len(rest)
+        return out
+
+
+def groups(values: Iterable, characters: int = 1 << 19) -> Iterator[list[str]]:
+    """Texts (nulls as empty ones) of an Arrow column in lists of about so many characters."""
+    group: list[str] = []
+    held = 0
+    for value in values:
+        text = value.as_py() or ""
+        group.append(text)
+        held += len(text)
+        if held >= characters:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 def encoder(path: str | None = None) -> PieceEncoder:
@@ -135,49 +159,100 @@ def encoder(path: str | None = None) -> PieceEncoder:
     return per_worker(f"encoder:{path}", lambda: PieceEncoder(path))
 
 
-def token_counts(df: DataFrame, text_col: str = "text", end_id: int | None = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """``id``, ``n`` over all texts, summed inside each task before the shuffle."""
+def encode(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: int | None = END_ID,
+    vocabulary: str | None = None,
+) -> DataFrame:
+    """``doc_id``, ``text_hash`` (to order rows of equal ids), ``ids`` (little-endian, 2 bytes each if all ids fit, else 4)."""
+    end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
-        counts = np.zeros(encode.size, dtype=np.int64)
+        encode_texts = encoder(vocabulary)
+        width = id_type(encode_texts.size)
         for batch in batches:
-            counts += encode.count([text or "" for text in batch.column(0).to_pylist()])
-            if end_id is not None:
-                counts[end_id] += batch.num_rows
+            at = 0
+            for texts in groups(batch.column(2)):
+                ids = [np.frombuffer(x + end, dtype="<u4").astype(width).tobytes() for x in encode_texts(texts)]
+                rows = batch.slice(at, len(texts))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, type=pa.binary())], ["doc_id", "text_hash", "ids"])
+
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, ids binary")
+
+
+def id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _flat_ids(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column, and how many each row has; no row is copied by itself."""
+    if not len(column):
+        return np.zeros(0, id_type(size)), np.zeros(0, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], dtype="<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    width = np.dtype(id_type(size)).itemsize
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    return flat.view(id_type(size)), np.diff(offsets) // width
+
+
+def token_counts(encoded: DataFrame, size: int) -> DataFrame:
+    """``id``, ``n`` over all of ``encoded.ids``, summed inside each task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            counts += np.bincount(_flat_ids(batch.column(0), size)[0], minlength=size)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["id", "n"])
 
-    parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id int, n long")
-    return parts.groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def frequency_ranks(counts: DataFrame, size: int) -> np.ndarray:
     """Id of each rank: most frequent first, ties and unused ids by id. At most one row per vocabulary entry reaches the driver."""
     n = np.zeros(size, dtype=np.int64)
-    for row in counts.where(F.col("id") < size).toLocalIterator():
-        n[row["id"]] = row["n"]
+    rows = counts.where(F.col("id") < size).toArrow()
+    n[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return np.lexsort((np.arange(size), -n)).astype("<u4")
 
 
-def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of unsigned 32-bit values."""
+def pack_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of consecutive streams of ``counts`` unsigned 32-bit values each."""
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[: len(ranks)] = extra
-    lanes = padded.reshape(-1, 4)
-    control = lanes[:, 0] | lanes[:, 1] << 2 | lanes[:, 2] << 4 | lanes[:, 3] << 6
-    four = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = four[np.arange(4, dtype=np.uint8)[None, :] <= extra[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    lanes = -(-counts // 4) * 4
+    ends, lane_ends = np.cumsum(counts), np.cumsum(lanes)
+    padded = np.zeros(int(lanes.sum()), dtype=np.uint8)
+    padded[np.arange(len(ranks)) + np.repeat(lane_ends - lanes - ends + counts, counts)] = extra
+    four = padded.reshape(-1, 4)
+    control = memoryview((four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8).tobytes())
+    data_ends = np.append(0, np.cumsum(extra, dtype=np.int64) + np.arange(1, len(ranks) + 1))[np.append(0, ends)]
+    if extra.any():
+        data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8)[None, :] <= extra[:, None]]
+    else:
+        data = ranks.astype(np.uint8)
+    data, cuts = memoryview(data.tobytes()), np.append(0, lane_ends // 4)
+    return (
+        [bytes(control[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)],
+        [bytes(data[i:j]) for i, j in zip(data_ends[:-1].tolist(), data_ends[1:].tolist(), strict=True)],
+    )
 
 
 _LENGTHS = 1 + (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], dtype=np.uint8) & 3)
 
 
-def unpack_ranks(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
-    """Inverse of ``pack_ranks``."""
-    lengths = _LENGTHS[control].reshape(-1)[:count].astype(np.int64)
+def unpack_ranks(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Values of concatenated streams of ``counts`` values each (every stream begins with a control byte of its own)."""
+    lanes = -(-counts // 4) * 4
+    used = np.ones(int(lanes.sum()), dtype=bool)
+    ends = np.cumsum(lanes)
+    for k in range(1, 4):  # unused lanes of each stream's last control byte
+        used[(ends - k)[lanes - counts >= k]] = False
+    lengths = _LENGTHS[control].reshape(-1)[used].astype(np.int64)
     starts = np.cumsum(lengths) - lengths
     values = data[starts].astype(np.uint32)
     for k in range(1, 4):
@@ -189,15 +264,14 @@ def unpack_ranks(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarra
 _BLOCK = "<IQQQ"
 
 
-def _write_block(out, ids: list[int | None], pieces: list[bytes], rank_of: np.ndarray) -> None:
-    ranks = rank_of[np.frombuffer(b"".join(pieces), dtype="<u4")]
-    control, data = pack_ranks(ranks)
-    out.write(struct.pack(_BLOCK, len(ids), len(ranks), len(control), len(data)))
+def _write_block(out, rows: list[tuple[int | None, int, bytes, bytes]]) -> None:
+    ids, counts, controls, data = zip(*rows, strict=True)
+    out.write(struct.pack(_BLOCK, len(rows), sum(counts), sum(map(len, controls)), sum(map(len, data))))
     out.write(np.array([x or 0 for x in ids], dtype="<i8").tobytes())
     out.write(np.array([x is None for x in ids], dtype=np.uint8).tobytes())
-    out.write(np.array([len(x) // 4 for x in pieces], dtype="<u4").tobytes())
-    out.write(control)
-    out.write(data)
+    out.write(np.array(counts, dtype="<u4").tobytes())
+    out.writelines(controls)
+    out.writelines(data)
 
 
 def read_blocks(source) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -205,12 +279,16 @@ def read_blocks(source) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
     if source.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
     while head := source.read(struct.calcsize(_BLOCK)):
-        docs, tokens, n_control, n_data = struct.unpack(_BLOCK, head)
+        docs, _, n_control, n_data = struct.unpack(_BLOCK, head)
         ids = np.frombuffer(source.read(8 * docs), dtype="<i8")
         null = np.frombuffer(source.read(docs), dtype=np.uint8)
-        lengths = np.frombuffer(source.read(4 * docs), dtype="<u4").astype(np.int64)
+        counts = np.frombuffer(source.read(4 * docs), dtype="<u4").astype(np.int64)
         control = np.frombuffer(source.read(n_control), dtype=np.uint8)
-        yield ids, null, lengths, unpack_ranks(control, np.frombuffer(source.read(n_data), dtype=np.uint8), tokens)
+        data = np.frombuffer(source.read(n_data), dtype=np.uint8)
+        yield ids, null, counts, unpack_ranks(control, data, counts)
+
+
+_ENCODED = "part int, doc_id long, text_hash long, n long, control binary, data binary"
 
 
 def write_token_files(
@@ -220,51 +298,70 @@ def write_token_files(
     text_col: str = "text",
     end_id: int | None = END_ID,
     vocabulary: str | None = None,
+    tokens_per_file: int = TOKENS_PER_FILE,
 ) -> None:
-    """Encode every text and write the files, the dictionary and the manifest below ``path`` (shared by all executors)."""
+    """Encode every text once and write the files, the dictionary and the manifest below ``path`` (shared by all executors)."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = encoder(vocabulary).size
-    id_of_rank = frequency_ranks(token_counts(rows, "text", end_id, vocabulary), size)
+    encoded_path = scratch_path(spark, "encoded")
+    encode(df, id_col, text_col, end_id, vocabulary).write.option("compression", "zstd").parquet(encoded_path)
+    encoded = spark.read.parquet(encoded_path)
+    counts = token_counts(encoded, size).persist()
+    id_of_rank = frequency_ranks(counts, size)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts.unpersist()
     rank_of = np.empty(size, dtype="<u4")
     rank_of[id_of_rank] = np.arange(size, dtype="<u4")
-    end = b"" if end_id is None else struct.pack("<I", end_id)
+    parts = max(-(-total // tokens_per_file), 1)
+    quantiles = [k / parts for k in range(1, parts)]
+    cuts = encoded.agg(F.percentile_approx("doc_id", quantiles or [0.5], 100 * parts)).first()[0]
+    bounds = np.unique(np.array(cuts if quantiles and cuts else [], dtype=np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.searchsorted(bounds, batch.column(0).fill_null(-(1 << 63)).to_numpy(), side="left").astype(np.int32)
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                ids, counts = _flat_ids(rows.column(2), size)
+                packed = pack_ranks(rank_of[ids], counts)
+                columns = [pa.array(part[at : at + 256]), rows.column(0), rows.column(1), pa.array(counts), *(pa.array(x, type=pa.binary()) for x in packed)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "text_hash", "n", "control", "data"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = file_system(path)
-        out, name, first, total_docs, total_tokens = None, "", None, 0, 0
-        ids: list[int | None] = []
-        pieces: list[bytes] = []
+        name, first, docs, tokens = f"tokens-{uuid.uuid4().hex}.ids", None, 0, 0
+        out = None
+        rows: list[tuple[int | None, int, bytes, bytes]] = []
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
                 if out is None:
-                    name, first = f"tokens-{uuid.uuid4().hex}.ids", doc_id.as_py()
+                    first = row[0]
                     store.create_dir(folder, recursive=True)
                     out = store.open_output_stream(f"{folder}/{name}")
                     out.write(MAGIC)
-                ids.append(doc_id.as_py())
-                pieces.append(encode(text.as_py() or "") + end)
-                held += len(pieces[-1]) // 4
+                rows.append((row[0], *row[2:]))
+                held += row[2]
+                docs, tokens = docs + 1, tokens + row[2]
                 if held >= BLOCK_TOKENS:
-                    _write_block(out, ids, pieces, rank_of)
-                    total_docs, total_tokens = total_docs + len(ids), total_tokens + held
-                    ids, pieces, held = [], [], 0
+                    _write_block(out, rows)
+                    rows, held = [], 0
         if out is not None:
-            if ids:
-                _write_block(out, ids, pieces, rank_of)
+            if rows:
+                _write_block(out, rows)
             out.close()
             yield pa.RecordBatch.from_pylist(
-                [{"file": name, "first_id": first, "docs": total_docs + len(ids), "tokens": total_tokens + held}],
+                [{"file": name, "first_id": first, "docs": docs, "tokens": tokens}],
                 schema=pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]),
             )
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ordered.mapInArrow(run, "file string, first_id long, docs long, tokens long")
+    ranked = encoded.mapInArrow(rank, _ENCODED)
+    ordered = ranked.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "text_hash")
+    manifest = ordered.mapInArrow(write, "file string, first_id long, docs long, tokens long")
     dictionary = spark.createDataFrame(pa.table({"rank": np.arange(size), "id": id_of_rank.astype(np.int64)}))
     dictionary.coalesce(1).write.parquet(f"{path}/dictionary")
     manifest.write.parquet(f"{path}/manifest")
+    remove_path(spark, encoded_path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
