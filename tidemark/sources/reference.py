@@ -123,7 +123,7 @@ def normalise_issuers(rows: DataFrame, index: Column, limit: int | None = None)
     symbol = F.upper(F.trim(F.col(f"`{resolve_column(rows.columns, ('symbol', 'ticker', 'stock symbol'))}`")))
     issuer = F.trim(F.col(f"`{resolve_column(rows.columns, ('company name', 'issuer name', 'company', 'name'))}`"))
     try:
-        exchange = F.upper(F.trim(F.col(f"`{resolve_column(rows.columns, ('exchange', 'market'))}`")))
+        exchange = F.coalesce(F.upper(F.trim(F.col(f"`{resolve_column(rows.columns, ('exchange', 'market'))}`"))), F.lit(""))
     except ValueError:
         exchange = F.lit("TSX")
     usable = rows.select(index.cast("long").alias("row"), symbol.alias("symbol"), issuer.alias("issuer_name"), exchange.alias("exchange"))
