@@ -9,6 +9,8 @@ sample at equal distances from their starts, which is what a cover is for, and a
 sampled. And as only the first ``LENGTH`` bytes of suffixes count, names need no recursion: they
 are the hashes of the ``GRAM`` bytes, and the bytes around decide inside a group of equal names.
 
+Texts that equal an earlier one are set apart first: all their bytes are repeats. Then:
+
 1. Sampled positions (anchors) of all texts with the range of string starts that each one serves.
 2. Names that occur once are dropped (aggregation and join).
 3. The rest get the bytes around them, go to their name's group in the order of the text, and adjacent equal strings are
@@ -31,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, scratch_path, table_at
+from .common import discard, materialise
+from .worker import release_memory
 
 LENGTH = 100
 GRAM = 32
 HOT = 20_000
-BATCH_BYTES = 4 << 20
 STRIDE = 1 << 23  # longer texts are looked at in overlapping stretches of so many bytes
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -125,52 +127,71 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     held = 0
             if held:
                 yield flush()
+        release_memory()
 
     return rows.select("doc", "text").mapInArrow(run, "name long, doc long, at int, low smallint, high smallint")
 
 
-_SPLIT = "kind int, doc long, doc_id long, name long, at int, low smallint, high smallint, n long, data binary"
+def _copies(rows: DataFrame, length: int) -> DataFrame:
+    """``doc`` of each text of ``length`` bytes or more that equals an earlier one: all its bytes are repeats.
+
+    Every string of a copy stands in the first of its kind too, which starts earlier than anything after the copy, so copies
+    decide nothing about other texts and take no further part.
+    """
+    hashed = rows.where(F.octet_length("text") >= length).select("doc", F.unhex(F.sha2("text", 256)).alias("h"))
+    first = hashed.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
+    return hashed.join(first, "h").where("doc <> first").select("doc")
+
+
+def _split(rows: DataFrame, repeated: DataFrame, copies: DataFrame) -> DataFrame:
+    """Kind 0: texts without repeated names; kind 1: copies; kind 2: texts with repeated names, and these (``found``)."""
+    mine = repeated.join(copies, "doc", "left_anti")
+    lists = mine.groupBy("doc").agg(F.collect_list(F.struct("name", "at", "low", "high", "n")).alias("found"))
+    joined = rows.join(lists, "doc", "left").join(copies.withColumn("copy", F.lit(True)), "doc", "left")
+    text = F.coalesce("text", F.lit(b""))
+    kind = F.when(F.col("copy"), 1).when(F.col("found").isNull(), 0).otherwise(2)
+    digest = F.when(kind == 0, F.sha2(text, 256)).when(kind == 1, F.sha2(F.lit(b""), 256))
+    return joined.select(
+        kind.alias("kind"), "doc", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"), F.when(kind == 2, F.col("text")).alias("text"), "found"
+    )
 
 
-def _with_bytes(rows: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """Kind 0: documents without repeated names; kind 1: repeated anchors and the bytes that their strings span; kind 2: texts that have some."""
-    lists = repeated.groupBy("doc").agg(F.collect_list(F.struct("name", "at", "low", "high", "n")).alias("found"))
-    joined = rows.join(lists, "doc", "left").select("doc", "doc_id", "text", "found")
-    fields = [("kind", pa.int32()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("name", pa.int64()), ("at", pa.int32()), ("low", pa.int16()), ("high", pa.int16()), ("n", pa.int64()), ("data", pa.binary())]
+def _spans(texts: DataFrame, length: int) -> DataFrame:
+    """The repeated anchors of kind 2 with the bytes that their strings span."""
+    names = ["name", "doc", "at", "low", "high", "n", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for doc, doc_id, text, found in zip(*(batch.column(k) for k in range(4)), strict=True):
-                doc, doc_id, data = doc.as_py(), doc_id.as_py(), text.as_py()
-                if not found.is_valid:
-                    out.append((0, doc, doc_id, None, None, None, None, len(data or b""), hashlib.sha256(data or b"").digest()))
-                else:
-                    out.append((2, doc, doc_id, None, None, None, None, None, data))
-                    for x in found.as_py():
-                        span = data[x["at"] - x["high"] : x["at"] - x["low"] + length]
-                        out.append((1, doc, None, x["name"], x["at"], x["low"], x["high"], x["n"], span))
-                    held += len(data)
-                if held > BATCH_BYTES or len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], [f for f, _ in fields])
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], [f for f, _ in fields])
-
-    return joined.mapInArrow(run, _SPLIT)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                found = part.column(2)
+                counts = found.value_lengths().to_numpy(zero_copy_only=False)
+                flat = found.flatten()
+                at, low, high = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "low", "high"))
+                begins, ends = (at - high).tolist(), (at - low + length).tolist()
+                pieces, k = [], 0
+                for text, count in zip(part.column(1).to_pylist(), counts.tolist(), strict=True):
+                    pieces += [text[b:e] for b, e in zip(begins[k : k + count], ends[k : k + count], strict=True)]
+                    k += count
+                docs = np.repeat(part.column(0).to_numpy(zero_copy_only=False), counts)
+                columns = [flat.field("name"), pa.array(docs), flat.field("at"), flat.field("low"), flat.field("high"), flat.field("n"), pa.array(pieces, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        release_memory()
+
+    return texts.mapInArrow(run, "name long, doc long, at int, low smallint, high smallint, n long, data binary")
 
 
 def _strings(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every string of the anchors' spans: its anchor's row, its distance to the anchor, its hash. By row, then distance."""
     low, high = rows["low"].to_numpy().astype(np.int64), rows["high"].to_numpy().astype(np.int64)
-    spans = rows["data"].to_pylist()
-    sizes = np.fromiter(map(len, spans), np.int64, len(spans))
-    h = rolling(np.frombuffer(b"".join(spans), dtype=np.uint8), length)
+    data = rows["data"].combine_chunks()
+    data = data if isinstance(data, pa.Array) else data.chunk(0)
+    bounds = np.frombuffer(data.buffers()[1], dtype="<i4")[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    h = rolling(np.frombuffer(data.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]], length)
     counts = high - low + 1
     row = np.repeat(np.arange(len(counts)), counts)
     distance = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + low[row]
-    return row, distance, h[(np.cumsum(sizes) - sizes)[row] + high[row] - distance]
+    return row, distance, h[(bounds[:-1] - bounds[0])[row] + high[row] - distance]
 
 
 def _ranges(row: np.ndarray, distance: np.ndarray, marked: np.ndarray, doc: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
@@ -198,11 +219,11 @@ def _repeats_in_groups(spans: DataFrame, length: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 5_000):
-                part = batch.slice(lo, 5_000)
+            for lo in range(0, batch.num_rows, 2_500):
+                part = batch.slice(lo, 2_500)
                 held.append(part)
                 size += part.num_rows
-                if size >= 20_000:
+                if size >= 10_000:
                     rows = pa.Table.from_batches(held)
                     name = rows["name"].to_numpy()
                     cut = int(np.flatnonzero(np.append(True, name[1:] != name[:-1]))[-1])  # the last group may go on
@@ -211,6 +232,8 @@ def _repeats_in_groups(spans: DataFrame, length: int) -> DataFrame:
                     held, size = rows.slice(cut).to_batches(), rows.num_rows - cut
         if size:
             yield decide(pa.Table.from_batches(held))
+        held.clear()
+        release_memory()
 
     dealt = spans.select("name", "doc", "at", "low", "high", "data").repartition("name").sortWithinPartitions("name", "doc", "at")
     return dealt.mapInArrow(run, "doc long, start long, end long")
@@ -241,15 +264,19 @@ def find_repeats(
     found = _anchor_rows(rows, length, gram)
     counts = found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = materialise(found.join(counts, "name"), "repeated")
-    path = scratch_path(df.sparkSession, "split")
-    _with_bytes(rows, repeated, length).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    copies = materialise(_copies(rows, length), "copies")
+    split = materialise(_split(rows, repeated, copies), "split")
+    some_hot = not repeated.where(F.col("n") > hot).isEmpty()
     discard(repeated)
-    split = table_at(df.sparkSession, path, _SPLIT)
-    spans = split.where("kind = 1")
-    ranges = _repeats_in_groups(spans.where(F.col("n") <= hot), length).unionByName(_repeats_of_hot_names(spans.where(F.col("n") > hot), length))
+    discard(copies)
+    texts = split.where("kind = 2")
+    spans = _spans(texts.select("doc", "text", "found"), length)
+    ranges = _repeats_in_groups(spans.where(F.col("n") <= hot), length)
+    if some_hot:
+        common = texts.withColumn("found", F.filter("found", lambda x: x["n"] > hot)).where(F.size("found") > 0)
+        ranges = ranges.unionByName(_repeats_of_hot_names(_spans(common.select("doc", "text", "found"), length), length))
     lists = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    texts = split.where("kind = 2").select("doc", "doc_id", F.col("data").alias("text"))
-    joined = texts.join(lists, "doc", "left").select("doc_id", "text", "ranges")
+    joined = texts.select("doc", "doc_id", "text").join(lists, "doc", "left").select("doc_id", "text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,11 +298,16 @@ def find_repeats(
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
             columns = zip(*out, strict=True) if out else [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
+        release_memory()
 
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
     cut_texts = joined.mapInArrow(cut, schema)
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    whole = split.where("kind = 0").select("doc_id", F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), F.lower(F.hex("data")).alias("kept_sha256"))
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    copy = F.col("kind") == 1
+    whole = split.where("kind < 2").select(
+        "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(copy, everything).otherwise(nothing).alias("spans"), F.col("digest").alias("kept_sha256")
+    )
     result = materialise(cut_texts.unionByName(whole), "kept")
     for table in filter(None, (numbered, split)):
         discard(table)
