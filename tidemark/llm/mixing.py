@@ -4,13 +4,14 @@
    the iterations.
 2. Iterative proportional fitting: for each dimension in turn the cells' sampling probabilities are scaled so that
    the tokens expected of each value meet its target. A probability never leaves [0, 1], as nothing is drawn twice;
-   what a full cell can't give, the other cells of its row make up in the next round. Every round is one
-   aggregate and one join per dimension over the cells, written to a table.
+   what a full cell can't give, the other cells of its row make up in the next round. A step is a window sum over the
+   cells; after every few rounds they are written to a table.
 3. A document stays if a hash of its id and the seed, read as a number in [0, 1), lies below its cell's probability. So
    the sample is the same for any partitioning, and a larger target keeps what a smaller one kept.
 
 A target is a mapping of values to shares (values left out get nothing), or None for shares in proportion to
-tokens to the power ``temper``, which lifts small sources. All targets add up to ``token_share`` of the input's tokens.
+tokens to the power ``temper``, which lifts small sources. All targets add up to ``token_share`` of the input's tokens, and
+no value's target is above the tokens that it has.
 
 Defined cases: nulls in a dimension are a value of their own (``""``); an empty text has no tokens and is sampled
 like its cell; a cell without tokens keeps ``token_share``; a null id is hashed as such; repeated rows share one
@@ -23,13 +24,16 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import discard, materialise
 
 TOKEN_SHARE = 0.7
 TEMPER = 0.7
-ROUNDS = 25
-TOLERANCE = 0.005  # largest relative miss of a target that raking may leave
+ROUNDS = 50
+TOLERANCE = 0.0002  # share of all tokens that a last round may still move
+ROUNDS_PER_TABLE = 5
+GRID, GRID_ROUNDS = 32, 4
 SEED = 20240229
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -38,20 +42,20 @@ Target = Mapping[str, float] | None
 
 def token_count(text: Column) -> Column:
     """Words as a measure of tokens."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
 def form_topic(text: Column) -> Column:
     """A topic from the text's form: what it is made of, by the first rule that holds."""
     text = F.coalesce(text, F.lit(""))
     size = F.length(text)
-    share = lambda chars: size - F.length(F.translate(text, chars, ""))
-    lines = share("\n") + 1
+    share = lambda chars: F.regexp_count(text, F.lit(f"[{chars}]"))
+    lines = share(r"\n") + 1
     return (
         F.when(size == 0, "empty")
         .when(share("|") * 100 > size, "table")
         .when(share("#*$%&<>{}=") * 50 > size, "markup")
-        .when(share("0123456789") * 20 > size, "numeric")
+        .when(share("0-9") * 20 > size, "numeric")
         .when(size < lines * 60, "list")
         .when(size < 1500, "short prose")
         .otherwise("prose")
@@ -64,15 +68,41 @@ def cells_of(df: DataFrame, dimensions: Mapping[str, Column], tokens: Column) ->
     return df.select(*keys, tokens.alias("tokens")).groupBy(*(f"d{k}" for k in range(len(keys)))).agg(F.sum("tokens").alias("tokens"))
 
 
-def _targets(cells: DataFrame, name: str, target: Target, total: float, temper: float) -> DataFrame:
-    sums = cells.groupBy(name).agg(F.sum("tokens").alias("have"))
-    if target is None:
-        wanted = sums.select(name, F.pow(F.col("have").cast("double"), F.lit(temper)).alias("w"))
-    else:
-        shares = F.create_map(*(F.lit(x) for pair in target.items() for x in pair)) if target else F.lit(None).cast("map<string,double>")
-        wanted = sums.select(name, F.coalesce(shares[F.col(name)], F.lit(0.0)).cast("double").alias("w"))
-    scale = wanted.agg(F.sum("w")).first()[0] or 1.0
-    return materialise(wanted.select(name, (F.col("w") * F.lit(total / scale)).alias("target")), "target")
+def _targets(cells: DataFrame, names: list[str], targets: list[Target], wanted: float, temper: float) -> DataFrame:
+    """``dim``, ``value``, ``target`` tokens of every dimension's values, none above what the value has.
+
+    Targets are ``min(have, scale * share)``: what a value lacks goes to the others in proportion to their shares. The scale
+    is narrowed on a grid, for all dimensions at once: three jobs whose results are a few numbers each.
+    """
+    parts = []
+    for name, target in zip(names, targets, strict=True):
+        sums = cells.groupBy(F.lit(name).alias("dim"), F.col(name).alias("value")).agg(F.sum("tokens").cast("double").alias("have"))
+        if target is None:
+            share = F.pow("have", F.lit(temper))
+        else:
+            pairs = [F.lit(x) for pair in target.items() for x in pair]
+            share = F.coalesce(F.create_map(*pairs)[F.col("value")], F.lit(0.0)) if pairs else F.lit(0.0)
+        parts.append(sums.withColumn("share", share.cast("double")))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    sums = materialise(union, "sums")
+    some = F.col("share") > 0
+    bounds = {name: (0.0, 0.0) for name in names}
+    for row in sums.where(some).groupBy("dim").agg(F.max(F.col("have") / F.col("share")).alias("top")).collect():
+        bounds[row["dim"]] = (0.0, row["top"])
+    for _ in range(GRID_ROUNDS):
+        grids = {name: [low + (high - low) * k / GRID for k in range(GRID + 1)] for name, (low, high) in bounds.items()}
+        grid = F.create_map(*(x for name, values in grids.items() for x in (F.lit(name), F.array(*map(F.lit, values)))))[F.col("dim")]
+        reached = [F.sum(F.least("have", grid[k] * F.col("share"))).alias(f"r{k}") for k in range(GRID + 1)]
+        for row in sums.groupBy("dim").agg(*reached).collect():
+            values = grids[row["dim"]]
+            at = next((k for k in range(GRID + 1) if row[f"r{k}"] >= wanted), GRID)
+            bounds[row["dim"]] = (values[max(at - 1, 0)], values[at])
+    scale = F.create_map(*(x for name, (_, high) in bounds.items() for x in (F.lit(name), F.lit(high))))[F.col("dim")]
+    found = materialise(sums.select("dim", "value", F.least("have", scale * F.col("share")).alias("target")), "targets")
+    discard(sums)
+    return found
 
 
 def rake(
@@ -83,33 +113,28 @@ def rake(
     rounds: int = ROUNDS,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """``cells`` with ``probability``. One row of sums per round reaches the driver."""
+    """``cells`` with ``probability``. A few sums per round reach the driver."""
     names = [f"d{k}" for k in range(len(targets))]
-    cells = materialise(cells, "cells")
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    if not total:
-        return cells.withColumn("probability", F.lit(token_share))
-    wanted = [_targets(cells, name, target, total * token_share, temper) for name, target in zip(names, targets, strict=True)]
     state = materialise(cells.withColumn("probability", F.lit(float(token_share))), "raking")
-    before = None
-    for _ in range(rounds):
-        old = state
-        for name, target in zip(names, wanted, strict=True):
-            have = state.groupBy(name).agg(F.sum(F.col("tokens") * F.col("probability")).alias("have"))
-            factor = have.join(target, name).select(name, F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(1.0).alias("factor"))
-            scaled = F.least(F.lit(1.0), F.col("probability") * F.col("factor"))
-            state = state.join(factor, name).withColumn("probability", F.when(F.col("tokens") > 0, scaled).otherwise(token_share)).drop("factor")
-        state = materialise(state.select(*names, "tokens", "probability"), "raking")
-        discard(old)
-        miss = 0.0
-        for name, target in zip(names[:-1], wanted[:-1], strict=True):
-            have = state.groupBy(name).agg(F.sum(F.col("tokens") * F.col("probability")).alias("have"))
-            off = F.abs(F.col("have") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))
-            miss = max(miss, have.join(target, name).agg(F.max(off)).first()[0] or 0.0)
-        if miss <= tolerance or (before is not None and abs(before - miss) < tolerance / 10):
-            break  # met, or held back by full cells only
-        before = miss
-    return state
+    total = float(state.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return state
+    wanted = _targets(state, names, targets, total * token_share, temper)
+    for name in names:
+        target = wanted.where(F.col("dim") == name).select(F.col("value").alias(name), F.col("target").alias(f"target_{name}"))
+        state = state.join(target, name)
+    for _ in range(0, rounds, ROUNDS_PER_TABLE):
+        for _ in range(ROUNDS_PER_TABLE):
+            state = state.withColumn("before", F.col("probability"))
+            for name in names:
+                have = F.sum(F.col("tokens") * F.col("probability")).over(Window.partitionBy(name))
+                scaled = F.least(F.lit(1.0), F.col("probability") * F.col(f"target_{name}") / have)
+                state = state.withColumn("probability", F.when(have > 0, scaled).otherwise(F.col("probability")))
+        state = materialise(state, "raking")
+        moved = state.agg(F.sum(F.col("tokens") * F.abs(F.col("probability") - F.col("before")))).first()[0] / total
+        if moved <= tolerance:
+            break  # targets met, or held back by full cells only
+    return state.select(*names, "tokens", F.when(F.col("tokens") > 0, F.col("probability")).otherwise(F.lit(float(token_share))).alias("probability"))
 
 
 def mix(
