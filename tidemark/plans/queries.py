@@ -199,7 +199,7 @@ _TWO = (*oracle.INPUT, oracle.BATCHES, oracle.classified("first_batch", name="c1
 @query(oracle.with_(*_TWO, oracle.classified("second_batch", "c1", "st", name="c2"), select='SELECT event_id, "offset", outcome, reason FROM c2'))
 def second_batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = _batches(spark, sf_dir)
-    ledger = lifecycle.classify(first)
+    ledger = lifecycle.classify(first).persist()  # in the pipeline this is a table
     decided = lifecycle.classify(second, ledger, _current(ledger))
     return decided.select(*KEY, "outcome", F.col("outcome_reason").alias("reason"))
 
@@ -259,8 +259,8 @@ SELECT trade_id, CASE WHEN b.trade_id IS NOT NULL AND (a.trade_id IS NULL OR b.e
 FROM cur1 a FULL JOIN cur2 b USING (trade_id)"""))
 def merge_version_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = _batches(spark, sf_dir)
-    ledger = lifecycle.classify(first)
-    now = _current(ledger)
+    ledger = lifecycle.classify(first).persist()
+    now = _current(ledger).persist()
     then = _current(lifecycle.classify(second, ledger, now))
     columns = ["trade_id", "current_version", "trade_status", F.col("event_id").alias("first_event_id")]
     return state.upsert_if_newer(now.select(*columns), then.select(*columns), "trade_id", "current_version", kept=("first_event_id",))
@@ -310,8 +310,8 @@ _CHECKED = """SELECT check_name, CAST(s AS DECIMAL(38,6)) AS source_value, CAST(
 @query(oracle.with_(*oracle.ALL, f"pos AS (SELECT {oracle.POSITION_COLUMNS} FROM cur WHERE trade_status = 'BOOKED' GROUP BY portfolio_id, instrument_id), noti AS (SELECT {oracle.NOTIONAL_COLUMNS} FROM cur WHERE trade_status = 'BOOKED' GROUP BY portfolio_id, trade_currency)", select=_CHECKED))
 def reconcile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All eight checks; positions of one share are lost and even counts are off by one, so that two must fail."""
-    decided = _classified(spark, sf_dir)
-    now = _current(decided)
+    decided = _classified(spark, sf_dir).persist()
+    now = _current(decided).persist()
     positions = gold.position_snapshot(gold.booked(now), AS_OF).where("net_quantity <> 1")
     notionals = gold.currency_notional(gold.booked(now), AS_OF).withColumn("active_trade_count", F.col("active_trade_count") + (F.col("active_trade_count") % 2 == 0).cast("long"))
     found = reconcile.checks(trades.messages(spark, sf_dir), decided, now, positions, notionals)
