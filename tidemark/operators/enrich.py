@@ -37,12 +37,16 @@ def decode(messages: DataFrame) -> DataFrame:
 
 
 def dimension_views(instruments: DataFrame, portfolios: DataFrame, rates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The dimensions' columns that enrichment needs; a key that repeats counts once, so no event can multiply."""
-    one = lambda frame, *keys: frame.dropDuplicates(list(keys))
+    """The dimensions' columns that enrichment needs; of rows that repeat a key the smallest counts, so no event can multiply."""
+
+    def one(frame: DataFrame, *keys: str) -> DataFrame:
+        others = [name for name in frame.columns if name not in keys]
+        return frame.groupBy(*keys).agg(F.min(F.struct(*others)).alias("v")).select(*keys, "v.*")
+
     return (
         one(instruments.select("instrument_id", F.col("active_flag").alias("instrument_active"), F.col("quote_currency").alias("instrument_currency")), "instrument_id"),
         one(portfolios.select("portfolio_id", F.col("active_flag").alias("portfolio_active")), "portfolio_id"),
-        one(rates.select(F.col("currency").alias("trade_currency"), F.col("rate_date").alias("trade_date"), "cad_rate", "original_rate_date", "is_carried_forward"), "trade_currency", "trade_date"),
+        one(rates.select(F.col("currency").alias("trade_currency"), F.col("rate_date").alias("trade_date"), "cad_rate"), "trade_currency", "trade_date"),
     )
 
 

@@ -56,7 +56,8 @@ def classify(batch: DataFrame, ledger: DataFrame | None = None, current: DataFra
     by_id = Window.partitionBy("event_id").orderBy(*_arrival())
     ranked = rows.where("event_id is not null").withColumn("event_id_rank", F.row_number().over(by_id))
     ranked = ranked.unionByName(rows.where("event_id is null").withColumn("event_id_rank", F.lit(1)))
-    keyed = ranked.where("trade_id is not null and event_version is not null")
+    # Dealt by trade once: that serves the windows by version and payload too, which would else each deal anew.
+    keyed = ranked.where("trade_id is not null and event_version is not null").repartition("trade_id")
     loose = ranked.where("trade_id is null or event_version is null")
 
     clean = F.size("failed_rules") == 0
