@@ -7,6 +7,7 @@ ranking the candidates by such a draw: a top-k, whose limit is taken before rows
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
@@ -173,7 +174,10 @@ def dense_offsets(frame: DataFrame, order: list) -> DataFrame:
     return placed.join(F.broadcast(starts), "__part").withColumn("replay_offset", F.col("__start") + F.col("__in")).drop("__part", "__in", "__start", *names)
 
 
-def write_replay(events: DataFrame, path: str) -> None:
-    """Events as JSON lines, one file set in offset order."""
+def write_replay(events: DataFrame, path: str, metadata: dict | None = None) -> None:
+    """Events as JSON lines in offset order below ``path/events``, and the run's metadata as JSON below ``path/metadata``."""
     lines = events.orderBy("replay_offset").select(F.to_json(F.struct(*events.columns)).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    lines.write.mode("overwrite").text(f"{path}/events")
+    if metadata is not None:
+        about = events.sparkSession.createDataFrame([(json.dumps(metadata, indent=2),)], "value string")
+        about.coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
