@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .tokens import END_ID, encoder, groups
+from .worker import release_memory
 
 LENGTH = 1024
 ITEMS_PER_TASK = 200_000
@@ -62,6 +63,7 @@ def token_pieces(
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 arrays = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release_memory()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _PIECE_SCHEMA)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_path
-from .worker import file_system, per_worker
+from .worker import file_system, per_worker, release_memory
 
 ORDER = 4
 SYMBOLS = 48
@@ -40,6 +40,7 @@ UPPER_WIDTH = 14.0
 LOWER_WIDTH = 6.0
 LEAST_DEVIATION = 0.02  # of log perplexity, in nats
 TABLES_HELD = 8
+MOST_COUNTED = 1 << 32  # bytes that 32-bit counts are safe for
 
 
 def _symbol_table() -> np.ndarray:
@@ -71,28 +72,34 @@ def ngram_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict[str, np.ndarray] = OrderedDict()
+        counted: dict[str, int] = {}
 
         def rows(lang: str, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             used = np.flatnonzero(counts)
             for part in np.array_split(used, -(-len(used) // 200_000) or 1):
                 if len(part):
-                    columns = [pa.array([lang] * len(part)), pa.array(part.astype(np.int32)), pa.array(counts[part])]
+                    columns = [pa.array([lang] * len(part)), pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "code", "n"])
 
         for batch in batches:
             langs = np.array([x or "" for x in batch.column(0).to_pylist()], dtype=object)
             texts = batch.column(1).cast(pa.binary())
             for lang in dict.fromkeys(langs):
-                if lang not in held:
-                    held[lang] = np.zeros(size, dtype=np.int64)
-                held.move_to_end(lang)
                 for at in np.flatnonzero(langs == lang).tolist():
                     if data := texts[at].as_py():
+                        if lang in held and counted[lang] + len(data) > MOST_COUNTED:
+                            yield from rows(lang, held.pop(lang))
+                        if lang not in held:
+                            held[lang], counted[lang] = np.zeros(size, dtype=np.uint32), 0
                         np.add.at(held[lang], _codes(PAD + data), 1)
+                        counted[lang] += len(data)
+                if lang in held:
+                    held.move_to_end(lang)
                 while len(held) > TABLES_HELD:
                     yield from rows(*held.popitem(last=False))
-        for lang, counts in held.items():
-            yield from rows(lang, counts)
+        while held:
+            yield from rows(*held.popitem())
+        release_memory()
 
     texts = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     parts = texts.mapInArrow(run, "lang string, code int, n long")
@@ -126,14 +133,14 @@ def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[dict[str, np.ndarr
 
 def dense_log_probabilities(levels: list[dict[str, np.ndarray]]) -> np.ndarray:
     """Log probability of the last symbol of every 4-gram, seen or not."""
-    p = np.full(SYMBOLS, 1 / SYMBOLS)  # order 0: uniform
+    p = np.full(SYMBOLS, 1 / SYMBOLS, dtype=np.float32)  # order 0: uniform
     for n, level in enumerate(levels, start=1):
-        gamma = np.ones(SYMBOLS ** (n - 1))
+        gamma = np.ones(SYMBOLS ** (n - 1), dtype=np.float32)
         gamma[level["context"]] = level["gamma"]
         shorter = p if n == 1 else np.tile(p, SYMBOLS)
         p = (gamma[:, None] * shorter.reshape(-1, SYMBOLS)).reshape(-1)
         p[level["code"]] += level["alpha"]
-    return np.log(p).astype(np.float32)
+    return np.log(p)
 
 
 def build_models(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang") -> None:
@@ -237,7 +244,7 @@ class Rules:
         statistics = text_statistics(data)
         failed = fails_plain_rules(statistics[0], statistics[4])
         path = self.path
-        score = per_worker(f"perplexity:{path}", lambda: Scorer(path))(lang, data)
+        score = per_worker("perplexity", path, lambda: Scorer(path))(lang, data)
         low, high = self.bands.get(lang or "", (float("-inf"), float("inf")))
         return *statistics, failed, not failed and score is not None and low <= score <= high, score
 
@@ -254,7 +261,7 @@ def fit_rules(
     build_models(df, path, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = per_worker(f"perplexity:{path}", lambda: Scorer(path))
+        score = per_worker("perplexity", path, lambda: Scorer(path))
         for batch in batches:
             langs = batch.column(0).to_pylist()
             scores = []
@@ -262,6 +269,7 @@ def fit_rules(
                 data = text.as_py() or b""
                 scores.append(score(lang, data) if len(data.split(None, MIN_WORDS)) >= MIN_WORDS else None)
             yield pa.RecordBatch.from_arrays([pa.array([x or "" for x in langs]), pa.array(scores, type=pa.float64())], ["lang", "score"])
+        release_memory()
 
     texts = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     scores = texts.mapInArrow(run, "lang string, score double").where("score is not null")
@@ -300,5 +308,6 @@ def keep_documents(df: DataFrame, rules: Rules, text_col: str = "text", lang_col
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
             kept = [rules.judge(lang, text.as_py() or b"")[6] for lang, text in zip(langs, texts, strict=True)]
             yield batch.filter(pa.array(kept, type=pa.bool_()))
+        release_memory()
 
     return df.mapInArrow(run, df.schema)

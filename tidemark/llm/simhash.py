@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 
 from .common import checkpointed
 from .components import connected_components
+from .worker import release_memory
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -65,6 +66,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             texts = batch.column(1).cast(pa.binary())
             values = np.fromiter((fingerprint_of(t.as_py() or b"") for t in texts), dtype=np.uint64, count=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        release_memory()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")

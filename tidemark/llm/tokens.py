@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import remove_path, scratch_path
-from .worker import file_system, per_worker
+from .worker import file_system, per_worker, release_memory
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -156,7 +156,7 @@ def encoder(path: str | None = None) -> PieceEncoder:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    return per_worker(f"encoder:{path}", lambda: PieceEncoder(path))
+    return per_worker("encoder", path, lambda: PieceEncoder(path))
 
 
 def encode(
@@ -179,6 +179,7 @@ def encode(
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, type=pa.binary())], ["doc_id", "text_hash", "ids"])
+        release_memory()
 
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))

@@ -13,12 +13,13 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 
 
-def per_worker(key: str, make: Callable[[], Any]) -> Any:
-    """One value per worker process, kept from task to task."""
+def per_worker(kind: str, identity: str, make: Callable[[], Any]) -> Any:
+    """One value of each kind per worker process, kept from task to task until another identity is asked for."""
     state = sys.modules.setdefault("_tidemark_worker_state", types.ModuleType("_tidemark_worker_state")).__dict__
-    if key not in state:
-        state[key] = make()
-    return state[key]
+    if state.get(kind, (None,))[0] != identity:
+        state.pop(kind, None)
+        state[kind] = identity, make()
+    return state[kind][1]
 
 
 def release_memory() -> None:
