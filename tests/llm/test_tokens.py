@@ -30,7 +30,8 @@ def test_pieces_give_the_library_ids(library):
     draw = random.Random(1)
     texts = ["".join(draw.choice(SPECIAL) for _ in range(draw.randint(0, 9))) for _ in range(5000)] + ["", "x" * 5000]
     encode = tokens.encoder()
-    assert encode(texts) == [np.array(library(t), dtype="<u4").tobytes() for t in texts]
+    assert encode.kind == "<u2"
+    assert encode(texts) == [np.array(library(t), dtype="<u2").tobytes() for t in texts]
     again = [ids for group in tokens.groups(pa.array(texts), characters=50) for ids in encode(group)]
     assert again == encode(texts)
 
@@ -38,7 +39,7 @@ def test_pieces_give_the_library_ids(library):
 def test_a_full_memory_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_BYTES", 0)
     encode = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert encode(["one two. three,\nFour", "one two"]) == [np.array(library(t), dtype="<u4").tobytes() for t in ("one two. three,\nFour", "one two")]
+    assert encode(["one two. three,\nFour", "one two"]) == [np.array(library(t), dtype="<u2").tobytes() for t in ("one two. three,\nFour", "one two")]
     assert not encode.known
 
 
@@ -48,6 +49,8 @@ def test_streams_of_ranks_round_trip(counts):
     ranks = np.random.default_rng(0).choice([0, 255, 256, 65_535, 65_536, 1 << 24, (1 << 32) - 1], counts.sum()).astype("<u4")
     control, data = tokens.pack_ranks(ranks, counts)
     assert [len(c) for c in control] == [-(-n // 4) for n in counts]
+    small = (ranks % 65_536).astype("<u2")
+    assert tokens.pack_ranks(small, counts) == tokens.pack_ranks(small.astype("<u4"), counts)
     back = tokens.unpack_ranks(np.frombuffer(b"".join(control), np.uint8), np.frombuffer(b"".join(data), np.uint8), counts)
     assert (back == ranks).all()
 
@@ -77,7 +80,8 @@ def test_odd_rows_in_many_files(spark, odd, none, library):
 
 def test_ranks_go_by_frequency(spark):
     counts = spark.createDataFrame([(3, 10), (1, 10), (0, 1)], "id int, n long")
-    assert tokens.frequency_ranks(counts, 5).tolist() == [1, 3, 0, 2, 4]
+    ids, total = tokens.frequency_ranks(counts, 5)
+    assert ids.tolist() == [1, 3, 0, 2, 4] and total == 21
 
 
 def check_packing(rows, lengths, capacity=1024):

@@ -54,7 +54,7 @@ def token_pieces(
             for texts in groups(batch.column(1)):
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encode(texts), strict=True):
-                    data = memoryview(ids + end)
+                    data = memoryview(np.frombuffer(ids, dtype=encode.kind).astype("<u4").tobytes() + end)
                     total = len(data) // 4
                     cuts = [0, *range(total % length or length, total + 1, length)]
                     for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

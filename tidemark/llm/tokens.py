@@ -55,7 +55,10 @@ _WORD = re.compile(rf"({_LETTERS})([.,;:!?]?)(?:\n({_LETTERS})([.,;:!?]?))?\Z")
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. The pieces seen first are remembered, up to ``CACHE_BYTES``."""
+    """Ids of texts as little-endian bytes, 2 for each id if all ids fit, else 4 (``kind``).
+
+    The pieces seen first are remembered, up to ``CACHE_BYTES``.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,6 +67,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
+        self.kind = id_type(self.size)
         self.spaced = np.zeros(self.size, dtype=bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -75,7 +79,7 @@ class PieceEncoder:
 
     def library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in encoded]
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """The text up to its first word start, and the rest cut at each space in front of a word (space left out)."""
@@ -87,6 +91,8 @@ class PieceEncoder:
         found: dict[str, bytes] = {}
         others: list[str] = []
         word_of, known, merges, mapped, marks = _WORD.match, self.known, self.merges.tokenize, self.mapped, self.marks
+        width = np.dtype(self.kind).itemsize
+        code = "H" if width == 2 else "I"
         for piece in pieces:  # the split in front of the merges keeps words, a mark behind a word and a line's end apart
             if not (match := word_of(piece)):
                 others.append(piece)
@@ -94,18 +100,18 @@ class PieceEncoder:
             word, mark, next_word, next_mark = match.groups()
             if not (ids := known.get(word)):
                 tokens = merges("\u0120" + (word if word.isascii() else word.translate(mapped)))
-                ids = array("I", [token.id for token in tokens]).tobytes()
+                ids = array(code, [token.id for token in tokens]).tobytes()
             if next_word:
                 tokens = merges(next_word if next_word.isascii() else next_word.translate(mapped))
-                ids += marks[mark] + marks["\n"] + array("I", [token.id for token in tokens]).tobytes()
+                ids += marks[mark] + marks["\n"] + array(code, [token.id for token in tokens]).tobytes()
                 mark = next_mark
             found[piece] = ids + marks[mark]
         plain = [piece for piece in others if not _SPACE.search(piece)]
         if plain:  # as one text; a piece begins where a token begins with a space
-            ids = np.frombuffer(self.library([" " + " ".join(plain)])[0], dtype="<u4")
+            ids = np.frombuffer(self.library([" " + " ".join(plain)])[0], dtype=self.kind)
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(plain):
-                data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                data, cuts = ids.tobytes(), [*(width * starts).tolist(), width * len(ids)]
                 found |= {piece: data[cuts[k] : cuts[k + 1]] for k, piece in enumerate(plain)}
         odd = [piece for piece in others if piece not in found]
         if odd:
@@ -166,24 +172,31 @@ def encode(
     end_id: int | None = END_ID,
     vocabulary: str | None = None,
 ) -> DataFrame:
-    """``doc_id``, ``text_hash`` (to order rows of equal ids), ``ids`` (little-endian, 2 bytes each if all ids fit, else 4)."""
-    end = b"" if end_id is None else struct.pack("<I", end_id)
+    """``doc_id``, ``text_hash`` (to order rows of equal ids), ``ids`` (bytes of the encoder's kind), ``counts``.
+
+    Behind its documents each task adds a row that only has ``counts``: how often it met each id (64 bits each).
+    """
+    names = ["doc_id", "text_hash", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(vocabulary)
-        width = id_type(encode_texts.size)
+        end = b"" if end_id is None else np.array([end_id], dtype=encode_texts.kind).tobytes()
+        total = np.zeros(encode_texts.size, dtype=np.int64)
         for batch in batches:
             at = 0
             for texts in groups(batch.column(2)):
-                ids = [np.frombuffer(x + end, dtype="<u4").astype(width).tobytes() for x in encode_texts(texts)]
+                ids = [x + end for x in encode_texts(texts)]
+                total += np.bincount(np.frombuffer(b"".join(ids), dtype=encode_texts.kind), minlength=len(total))
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, type=pa.binary())], ["doc_id", "text_hash", "ids"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, type=pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        nothing = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([total.tobytes()], type=pa.binary())], names)
         release_memory()
 
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, ids binary, counts binary")
 
 
 def id_type(size: int) -> str:
@@ -201,30 +214,33 @@ def _flat_ids(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.view(id_type(size)), np.diff(offsets) // width
 
 
-def token_counts(encoded: DataFrame, size: int) -> DataFrame:
-    """``id``, ``n`` over all of ``encoded.ids``, summed inside each task before the shuffle."""
+def token_counts(encoded: DataFrame) -> DataFrame:
+    """``id``, ``n`` over all texts: the tasks' counts, summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            counts += np.bincount(_flat_ids(batch.column(0), size)[0], minlength=size)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["id", "n"])
+            for row in batch.column(0):
+                counts = np.frombuffer(row.as_buffer(), dtype="<i8")
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = encoded.where("counts is not null").select("counts")
+    return counted.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def frequency_ranks(counts: DataFrame, size: int) -> np.ndarray:
-    """Id of each rank: most frequent first, ties and unused ids by id. At most one row per vocabulary entry reaches the driver."""
+def frequency_ranks(counts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Id of each rank, and the number of ids. Most frequent first, ties and unused ids by id; one row per id reaches the driver."""
     n = np.zeros(size, dtype=np.int64)
     rows = counts.where(F.col("id") < size).toArrow()
     n[rows["id"].to_numpy()] = rows["n"].to_numpy()
-    return np.lexsort((np.arange(size), -n)).astype("<u4")
+    return np.lexsort((np.arange(size), -n)).astype("<u4"), int(n.sum())
 
 
 def pack_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Control bytes and data bytes of consecutive streams of ``counts`` unsigned 32-bit values each."""
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    """Control bytes and data bytes of consecutive streams of ``counts`` unsigned 16- or 32-bit values each."""
+    extra = (ranks > 0xFF).astype(np.uint8)
+    if ranks.dtype.itemsize > 2:
+        extra += (ranks > 0xFFFF).astype(np.uint8) + (ranks > 0xFFFFFF)
     lanes = -(-counts // 4) * 4
     ends, lane_ends = np.cumsum(counts), np.cumsum(lanes)
     padded = np.zeros(int(lanes.sum()), dtype=np.uint8)
@@ -233,7 +249,8 @@ def pack_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list
     control = memoryview((four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8).tobytes())
     data_ends = np.append(0, np.cumsum(extra, dtype=np.int64) + np.arange(1, len(ranks) + 1))[np.append(0, ends)]
     if extra.any():
-        data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8)[None, :] <= extra[:, None]]
+        wide = ranks.dtype.itemsize
+        data = ranks.view(np.uint8).reshape(-1, wide)[np.arange(wide, dtype=np.uint8)[None, :] <= extra[:, None]]
     else:
         data = ranks.astype(np.uint8)
     data, cuts = memoryview(data.tobytes()), np.append(0, lane_ends // 4)
@@ -306,13 +323,11 @@ def write_token_files(
     size = encoder(vocabulary).size
     encoded_path = scratch_path(spark, "encoded")
     encode(df, id_col, text_col, end_id, vocabulary).write.option("compression", "zstd").parquet(encoded_path)
-    encoded = spark.read.parquet(encoded_path)
-    counts = token_counts(encoded, size).persist()
-    id_of_rank = frequency_ranks(counts, size)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    counts.unpersist()
-    rank_of = np.empty(size, dtype="<u4")
-    rank_of[id_of_rank] = np.arange(size, dtype="<u4")
+    written = spark.read.parquet(encoded_path)
+    id_of_rank, total = frequency_ranks(token_counts(written), size)
+    encoded = written.where("ids is not null").select("doc_id", "text_hash", "ids")
+    rank_of = np.empty(size, dtype=id_type(size))
+    rank_of[id_of_rank] = np.arange(size, dtype=id_type(size))
     parts = max(-(-total // tokens_per_file), 1)
     quantiles = [k / parts for k in range(1, parts)]
     cuts = encoded.agg(F.percentile_approx("doc_id", quantiles or [0.5], 100 * parts)).first()[0]
