@@ -12,7 +12,7 @@ from ..functions.trade import stable_instrument_id
 from ..operators import enrich, gold, lifecycle, reconcile, state
 from ..session import shared_folder
 from ..sources import generator, messages as message_source, reference
-from ..streaming import pipeline
+from ..streaming import pipeline, stateful
 from ..streaming.store import Store
 from . import oracle, trades
 from .trades import AS_OF, table
@@ -224,6 +224,23 @@ def sequential_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.groupBy("event_id", "trade_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(ORACLES["sequential_lifecycle"])
+def stateful_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold again, as a stateful stream in two micro-batches: what arrived first is in a file of its own."""
+    root = shared_folder(spark, "stateful")
+    rows = trades.enriched(spark, sf_dir).select("event_id", "trade_id", "event_version", "event_type", "payload_hash", "topic", "partition", "offset")
+    late = F.col("offset") % 100_000 > 2
+    own = spark.newSession()  # the state store's provider is a session setting
+    for key, value in stateful.STATE_STORE.items():
+        own.conf.set(key, value)
+    for part in (rows.where(~late), rows.where(late)):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = own.readStream.schema(rows.schema).parquet(f"{root}/in")
+        writer = stateful.classify_stream(stream).writeStream.format("parquet").outputMode("append")
+        writer.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("event_id", "trade_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 # state
 
 
@@ -315,7 +332,7 @@ def reconcile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = gold.position_snapshot(gold.booked(now), AS_OF).where("net_quantity <> 1")
     notionals = gold.currency_notional(gold.booked(now), AS_OF).withColumn("active_trade_count", F.col("active_trade_count") + (F.col("active_trade_count") % 2 == 0).cast("long"))
     found = reconcile.checks(trades.messages(spark, sf_dir), decided, now, positions, notionals)
-    wrong = F.coalesce(F.get_json_object("details", "$.mismatch_count").cast("int"), F.lit(0))
+    wrong = F.coalesce(F.get_json_object("details", "$.mismatch_count").cast("long"), F.lit(0).cast("long"))
     return found.select("check_name", "source_value", "target_value", "difference", "status", wrong.alias("mismatches"))
 
 
