@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..model import MESSAGE_KEY, OUTCOMES, EventType, Outcome, TradeStatus
+from ..model import MESSAGE_KEY, OUTCOMES, Outcome, TradeStatus
 
 
 
@@ -140,40 +140,62 @@ def trade_status(event_type: Column) -> Column:
 SEQUENTIAL = "event_id string, trade_id string, event_version int, outcome string, reason string"
 
 
-def fold_events(events: Iterable[tuple], state: tuple | None = None, seen: set | None = None) -> Iterator[tuple]:
-    """``(outcome, reason, state)`` for each (event_id, version, type, hash) of one trade; state is (version, status, hash)."""
+def step(event: tuple, state: tuple | None, seen) -> tuple[str, str, tuple | None]:
+    """Outcome, reason and new state for an (event_id, version, type, hash) of a trade; state is (version, status, hash).
+
+    ``seen`` is asked for the id and gets it, whatever the outcome.
+    """
+    event_id, version, kind, digest = event
+    known = event_id in seen
+    seen.add(event_id)
+    if known:
+        return Outcome.DUPLICATE.value, "DUPLICATE_EVENT_ID", state
+    if state is None:
+        if kind != "NEW" or version != 1:
+            return Outcome.QUARANTINED.value, "LIFECYCLE_MUST_START_WITH_NEW_VERSION_1", None
+    elif version is None:
+        return Outcome.QUARANTINED.value, "INVALID_EVENT_VERSION", state
+    elif version < state[0]:
+        return Outcome.STALE_VERSION.value, "LOWER_THAN_CURRENT_VERSION", state
+    elif version == state[0]:
+        if digest == state[2]:
+            return Outcome.DUPLICATE.value, "REPLAYED_TRADE_VERSION", state
+        return Outcome.VERSION_CONFLICT.value, "CONFLICTING_TRADE_VERSION", state
+    elif state[1] == TradeStatus.CANCELLED.value:
+        return Outcome.QUARANTINED.value, "EVENT_AFTER_CANCEL", state
+    elif kind == "NEW":
+        return Outcome.QUARANTINED.value, "NEW_FOR_EXISTING_TRADE", state
+    status = TradeStatus.CANCELLED if kind == "CANCEL" else TradeStatus.BOOKED
+    return Outcome.APPLIED.value, "ACCEPTED_HIGHER_VERSION", (version, status.value, digest)
+
+
+def fold_events(events: Iterable[tuple], state: tuple | None = None, seen=None) -> Iterator[tuple]:
+    """``(outcome, reason, state)`` after each of one trade's events."""
     seen = set() if seen is None else seen
-    for event_id, version, kind, digest in events:
-        if event_id in seen:
-            decision = Outcome.DUPLICATE, "DUPLICATE_EVENT_ID"
-        elif state and version < state[0]:
-            decision = Outcome.STALE_VERSION, "LOWER_THAN_CURRENT_VERSION"
-        elif state and version == state[0]:
-            same = digest == state[2]
-            decision = (Outcome.DUPLICATE, "REPLAYED_TRADE_VERSION") if same else (Outcome.VERSION_CONFLICT, "CONFLICTING_TRADE_VERSION")
-        elif not state and (kind, version) != (EventType.NEW, 1):
-            decision = Outcome.QUARANTINED, "LIFECYCLE_MUST_START_WITH_NEW_VERSION_1"
-        elif state and state[1] == TradeStatus.CANCELLED:
-            decision = Outcome.QUARANTINED, "EVENT_AFTER_CANCEL"
-        elif state and kind == EventType.NEW:
-            decision = Outcome.QUARANTINED, "NEW_FOR_EXISTING_TRADE"
-        else:
-            state = version, TradeStatus.CANCELLED if kind == EventType.CANCEL else TradeStatus.BOOKED, digest
-            decision = Outcome.APPLIED, "ACCEPTED_HIGHER_VERSION"
-        seen.add(event_id)
-        yield *map(str, decision), state
+    for event in events:
+        outcome, reason, state = step(event, state, seen)
+        yield outcome, reason, state
 
 
 def classify_in_order(events: DataFrame) -> DataFrame:
-    """The fold over every trade's events in order of arrival. Event ids are taken to belong to one trade."""
-
-    def fold(trade: pd.DataFrame) -> pd.DataFrame:
-        trade = trade.sort_values(list(MESSAGE_KEY), kind="stable")
-        steps = fold_events(zip(trade["event_id"], trade["event_version"], trade["event_type"], trade["payload_hash"], strict=True))
-        decided = [(outcome, reason) for outcome, reason, _ in steps]
-        out = trade[["event_id", "trade_id", "event_version"]].copy()
-        out["outcome"], out["reason"] = zip(*decided, strict=True)
-        return out
-
-    needed = ["event_id", "trade_id", "event_version", "event_type", "payload_hash", *MESSAGE_KEY]
-    return events.select(*needed).groupBy("trade_id").applyInPandas(fold, SEQUENTIAL)
+    """The fold over every trade's events in order of arrival. Event ids are taken to belong to one trade.
+
+    Trades are sorted by arrival inside their partitions and folded as they stream by: a task holds one trade's ids at a time.
+    """
+    names = ["event_id", "trade_id", "event_version", "event_type", "payload_hash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trade, state, seen = object(), None, set()
+        for batch in batches:
+            decided = []
+            for event_id, trade_id, version, kind, digest in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if trade_id != trade:
+                    trade, state, seen = trade_id, None, set()
+                outcome, reason, state = step((event_id, version, kind, digest), state, seen)
+                decided.append((outcome, reason))
+            outcomes, reasons = zip(*decided, strict=True) if decided else ((), ())
+            added = [pa.array(outcomes, type=pa.string()), pa.array(reasons, type=pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *added], ["event_id", "trade_id", "event_version", "outcome", "reason"])
+
+    ordered = events.select(*names, *MESSAGE_KEY).repartition("trade_id").sortWithinPartitions("trade_id", *MESSAGE_KEY)
+    return ordered.select(*names).mapInArrow(run, SEQUENTIAL)
