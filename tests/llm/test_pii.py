@@ -72,6 +72,23 @@ def test_added_kinds_take_checks_and_context(spark, text, expected):
     assert all(text[s["start"] : s["end"]].strip() == text[s["start"] : s["end"]] for s in row["spans"])
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("SSN 123-45-6789, 234-56-7890", 2),
+        ("ssn: " + ", ".join(f"123-45-{n}" for n in range(1000, 1030)), 30),
+        ("ssn 123-45-6789 or else 234-56-7890", 2),  # the word is within the context of both
+        ("part 123-45-6789, tax 234-56-7890", 1),
+        ("part 123-45-6789, 234-56-7890", 0),
+        ("ssn 123-45-6789 " + "x " * 30 + "234-56-7890, 345-67-8901", 1),
+    ],
+)
+def test_context_reaches_over_earlier_numbers(spark, text, expected):
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [s["kind"] for s in pii.find_spans(frame).first()["spans"]] == ["ssn"] * expected
+    assert pii.mask(frame).first()["text"].count("[SSN]") == expected
+
+
 def test_masking(spark, odd):
     frame = spark.createDataFrame([(1, "mail a@b.co or +1 (555) 123-4567!", 7), (2, "none", 8), (3, None, 9)], "doc_id long, text string, base int")
     masked = pii.mask(frame)

@@ -11,6 +11,9 @@ Base kinds are exact (no score): email, ip, card (Luhn), phone. Added kinds need
   0.3 more for a context word within ``CONTEXT_CHARS`` characters before it.
 * ssn: three, two and four digits with hyphens, no part of a longer number, area neither 000, 666 nor from 900,
   no part all zeros. Score 0.3, and 0.4 more for a context word. So it takes context.
+* The characters before a span are those of the text, whatever matches lie in them. A span that follows an accepted one
+  of its kind with at most ``CONTEXT_CHARS`` characters between, no letter or digit among them, goes on a list: it is
+  accepted like the one before it, so a list may be longer than the context.
 * A span of an added kind that touches a base span is left out.
 
 Defined cases: a null or empty text has no spans and the digest of the empty string; null ids and repeated rows come out
@@ -42,6 +45,7 @@ CONTEXT = {
     "iban": (0.6, 0.3, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta|transfer|bic|swift)\b"),
     "ssn": (0.3, 0.4, r"(?i)\b(?:ssn|social|security|taxpayer|tax)\b"),
 }
+_LIST_GAP = rf"^[^\p{{L}}\p{{N}}]{{0,{CONTEXT_CHARS}}}$"
 # What a text must contain for the pattern to be tried at all.
 _NEEDS: dict[str, Callable[[Column], Column]] = {
     "email": lambda t: t.contains("@"),
@@ -97,19 +101,26 @@ def _spans_of(kind: str, text: Column, matches: Column) -> Column:
     """The confirmed matches of a kind with their places: one pass over what lies between matches, and the matches."""
     pieces = F.arrays_zip(F.split(text, PATTERNS[kind]).alias("gap"), matches.alias("match"))
     rank = (*BASE_KINDS, *ADDED_KINDS).index(kind)
+    scored = kind in ADDED_KINDS
 
     def step(state: Column, piece: Column) -> Column:
         gap, match = piece["gap"], piece["match"]
         start = state["at"] + F.length(gap)
         end = start + F.coalesce(F.length(match), F.lit(0))
         good = match.isNotNull() & _confirmed(kind, match)
-        if kind in ADDED_KINDS:
-            good &= _score(kind, gap) >= THRESHOLD
+        if scored:
+            listed = state["listed"] & gap.rlike(_LIST_GAP)
+            before = F.concat(state["before"], F.right(gap, F.lit(CONTEXT_CHARS)))
+            good &= listed | (_score(kind, before) >= THRESHOLD)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
         found = F.when(good, F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+        if not scored:
+            return F.struct(end.alias("at"), found.alias("found"))
+        tail = F.right(F.concat(before, F.coalesce(match, F.lit(""))), F.lit(CONTEXT_CHARS))
+        return F.struct(end.alias("at"), found.alias("found"), tail.alias("before"), good.alias("listed"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("found"))
+    state = [F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("found")]
+    begin = F.struct(*state, *((F.lit("").alias("before"), F.lit(False).alias("listed")) if scored else ()))
     none = F.array().cast(f"array<{_SPAN}>")
     return F.when(F.size(matches) > 0, F.aggregate(pieces, begin, step, lambda state: state["found"])).otherwise(none)
 
