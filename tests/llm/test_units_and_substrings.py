@@ -41,6 +41,32 @@ def test_units_are_lines_and_sentences():
     assert found[0][2] == found[1][2] != found[2][2]
 
 
+def test_repeated_lines_go_whole(spark, sf_dir, texts):
+    """Lines are compared here, not units: nothing may be left of a line of five words or more that equals an earlier one."""
+    seen, repeats = set(), 0
+    removed = {r["doc_id"]: r["removed"] for r in op5_unit_dedup(spark, sf_dir).collect()}
+    for doc_id in sorted(texts):
+        left, at = list(texts[doc_id]), 0
+        for one in removed[doc_id]:
+            left[one["start"] : one["end"]] = " " * (one["end"] - one["start"])
+        for line in texts[doc_id].split("\n"):
+            normal = " ".join(line.lower().split())
+            if len(normal.split()) >= 5 and normal in seen:
+                repeats += 1
+                assert not "".join(left[at : at + len(line)]).strip()
+            seen.add(normal)
+            at += len(line) + 1
+    assert repeats
+
+
+def test_short_sentences_go_with_what_is_around_them(spark):
+    long, other = "The long sentence number one is here.", "Some other sentence of many words follows."
+    texts = {1: "Yes. No. Why not? Well.", 2: "YES. No.  Why not? Well.", 3: f"{long} Stop. Go. {other} Yes.", 4: f"First of all. {long} Stop. Go. {other} No.", 5: "Stop. Go.", 6: f"{other} Stop. Go. {long}"}
+    rows = unit_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    kept = {r["doc_id"]: " ".join(r["text"].split()) for r in rows}
+    assert kept == {1: texts[1], 2: "", 3: texts[3], 4: "First of all. No.", 5: "Stop. Go.", 6: "Stop. Go."}
+
+
 def test_units_of_odd_rows(odd, none):
     found = unit_dedup.remove_repeats(odd)
     assert found.columns == [*odd.columns, "removed"] and found.count() == odd.count()

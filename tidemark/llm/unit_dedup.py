@@ -3,8 +3,13 @@
 A unit is a stretch of a line up to and with a sentence end (``.``, ``!`` or ``?`` before white space) or the
 line's end. Units are compared by a 128-bit digest of their normalised form: one case, runs of white space as one
 space, none at the ends. Of each group of equal units the one ranked first stays (smallest document id, then
-smallest offset); the others are cut out of their texts. Units of fewer than ``MIN_WORDS`` words are left alone, as
-short ones repeat in any prose.
+smallest offset); the others are cut out of their texts.
+
+Sentences of fewer than ``MIN_WORDS`` words repeat in any prose, so alone they are left; each run of them between longer ones is a
+unit together with what is around it: its digest is that of the longer sentence before it (or the line's start), the
+run, and the longer sentence after it (or the line's end). So of two equal lines all units are equal and the later line
+goes whole, as do the short sentences inside a repeated passage. A line without longer sentences is one unit.
+Lines of fewer than ``MIN_WORDS`` words are left alone.
 
 Digests are grouped by aggregation (a very frequent unit is summed up inside the tasks that meet it), then joined back
 to the units by equality, so no task gathers a group. The offsets of what went are kept, in code points of the input.
@@ -36,13 +41,23 @@ def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, byte
     found = []
     for line in re.finditer(r"[^\n]+", text):
         at = line.start()
+        parts: list[tuple[int, int, list[str], bool]] = []  # start, end, words, whether short; a run of short sentences is one
         for part in re.split(r"(?<=[.!?])(?=\s)", line.group()):
             words = part.split()
-            if len(words) >= min_words:
-                lead = len(part) - len(part.lstrip())
-                normal = " ".join(words).lower().encode()
-                found.append((at + lead, at + len(part.rstrip()), xxhash.xxh3_128_digest(normal)))
+            if words:
+                start, end, short = at + len(part) - len(part.lstrip()), at + len(part.rstrip()), len(words) < min_words
+                if short and parts and parts[-1][3]:
+                    start, words = parts[-1][0], parts.pop()[2] + words
+                parts.append((start, end, words, short))
             at += len(part)
+        if sum(len(part[2]) for part in parts) < min_words:
+            continue
+        normal = [" ".join(part[2]).lower() for part in parts]
+        for k, (start, end, _, short) in enumerate(parts):
+            # Words hold no line end, so the digest of a run can't be that of a sentence.
+            around = "\n".join(["", *normal[:k][-1:], "\n", normal[k], "\n", *normal[k + 1 : k + 2]])
+            key = around if short and len(parts) > 1 else normal[k]
+            found.append((start, end, xxhash.xxh3_128_digest(key.encode())))
     return found
 
 
