@@ -183,6 +183,31 @@ def test_graph_search_with_small_leaves(spark):
     assert recall(pools, exact(rows)) >= 0.9
 
 
+def test_search_goes_on_until_the_pool_is_expanded(spark):
+    """With two nodes a hop, any small fixed number of hops stops long before the pool of 40 is expanded."""
+    x = np.random.default_rng(0).standard_normal((1500, 16))
+    rows = {k: v.tolist() for k, v in enumerate(x)}
+    nodes = neighbours._as_nodes(neighbours.valid_vectors(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")))
+    path = neighbours.scratch_path(spark, "test-graph")
+    blocks = neighbours.build_graph(nodes, path, trees=4, leaf=100, degree=16)
+    queries = nodes.where("node % 100 = 0").withColumnRenamed("node", "query")
+    found = neighbours.search(queries, path, blocks, pool=40, beam=2).collect()
+    pools = {r["query"]: [(i, 0.0) for i in r["ids"] if i != r["query"]][:20] for r in found}
+    assert recall(pools, {q: near for q, near in exact(rows).items() if q in pools}) >= 0.9
+
+
+def test_crowded_leaves_are_cut_by_place(spark):
+    """One dense leaf: the first edges must find more of the nearest than parts dealt at random could."""
+    x = np.random.default_rng(1).standard_normal((4000, 8)) * 0.05 + 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = neighbours._as_nodes(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).withColumnRenamed("vec_id", "node")
+    leaves = neighbours._leaves(nodes, 4000, np.zeros(8, np.float32), 1, 200)
+    found = neighbours._edges_in_leaves(leaves, 200, 1).select("a", "b").collect()
+    best = x @ x.T
+    np.fill_diagonal(best, -np.inf)
+    assert len(found) >= 3900 and sum(best[r["a"]].argmax() == r["b"] for r in found) >= 3 * 4000 / 20
+
+
 def test_odd_vectors_and_copies(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, None]), (6, [inf, 0.0]), (7, [1.0]), (None, [1.0, 1.0]), (20, [0.5, 0.5]), (20, [0.5, 0.5]), (40, []), (60, [1.0, 0.0])]

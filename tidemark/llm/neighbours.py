@@ -2,17 +2,19 @@
 
 1. Equal vectors become one node (the smallest id), so that copies neither crowd the graph nor make hot groups;
    each node keeps the ids of its copies that can matter, the smallest ones.
-2. The graph starts from random hyperplane trees: nodes with the same side of all of a tree's planes share a leaf (crowded leaves are
-   dealt into several by a hash) and are compared there.
+2. The graph starts from random hyperplane trees: nodes with the same side of all of a tree's planes share a leaf and are
+   compared there. Crowded leaves are cut into slices along one more direction of the tree, at its quantiles; only slices that are
+   still crowded (more than ``SLICES`` would be needed, or equal places) are dealt by a hash.
 3. NN-descent rounds are Spark joins: each node's neighbours, forward and backward, meet at it with their vectors, are
    compared with each other, and pairs better than what an end already has become new edges. Each node keeps its
-   ``DEGREE`` best.
+   best (``degree_for``). Rounds end when at most ``STILL`` of the edges are new.
 4. Nodes are stored in blocks in the shared folder, each with its neighbours' ids and half-precision vectors. A search
    keeps a pool per query and expands its best unexpanded nodes: the query goes to the blocks of these nodes,
-   scores their neighbours there, and what beats its pool comes back. Blocks grow in number, not in size.
+   scores their neighbours there, and what beats its pool comes back, until no pool has an unexpanded node. Blocks grow in
+   number; pools grow with the root of the number of nodes (``pool_for``), as a fixed one loses recall on larger tables.
 5. The pool's best are scored again in double precision on the original vectors, and copies take their nodes' score.
 
-Everything a task holds is bounded: a leaf, a batch of nodes with at most ``2 * DEGREE`` neighbours, a block, a pool.
+Everything a task holds is bounded: a leaf, a batch of nodes with at most twice ``degree_for`` neighbours, a block, a pool.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of
 another length than most (of equally many lengths the smaller); null ids take no part; of repeated ids one
@@ -22,6 +24,7 @@ ties go to the smaller id; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -38,15 +41,25 @@ from .worker import file_system
 TREES = 10
 LEAF = 2000
 DEGREE = 24
-ROUNDS = 2
+SLICES = 256
+STILL = 0.005
 BLOCK_NODES = 2048
 POOL = 256
 BEAM = 48
-HOPS = 5
 NEIGHBOURS = 20
 SEED = 5
 
 
+def degree_for(count: int) -> int:
+    """Edges of a node: ``DEGREE``, and from 50,000 nodes four more each time that their number doubles."""
+    return DEGREE + round(4 * math.log2(max(count / 50_000, 1)))
+
+
+def pool_for(count: int) -> int:
+    """Size of a query's pool."""
+    return max(POOL, 2 * math.isqrt(count))
+
+
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id``, ``vector`` (array of double) of the rows that take part."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -79,29 +92,36 @@ def _as_nodes(vectors: DataFrame) -> DataFrame:
 
 
 def _leaves(nodes: DataFrame, count: int, mean: np.ndarray, trees: int, leaf: int) -> DataFrame:
-    """``tree``, ``code``, ``node``, ``v``: a row of each node for each tree."""
+    """``tree``, ``code``, ``along``, ``node``, ``v``: a row of each node for each tree, with its place along a direction."""
     planes = max(0, math.ceil(math.log2(max(count / leaf, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(SEED)
-        directions = random.standard_normal((trees, len(mean), planes)).astype(np.float32)
+        directions = random.standard_normal((trees, len(mean), planes + 1)).astype(np.float32)
         bits = 1 << np.arange(planes, dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1), "<f4") - mean
             for tree in range(trees):
-                code = (x @ directions[tree] > 0) @ bits if planes else np.zeros(len(x), np.int64)
-                columns = [pa.array(np.full(len(x), tree, np.int32)), pa.array(code.astype(np.int64)), batch.column(0), batch.column(1)]
-                yield pa.RecordBatch.from_arrays(columns, ["tree", "code", "node", "v"])
+                places = x @ directions[tree]
+                code = (places[:, :planes] > 0) @ bits if planes else np.zeros(len(x), np.int64)
+                columns = [pa.array(np.full(len(x), tree, np.int32)), pa.array(code.astype(np.int64)), pa.array(places[:, planes]), batch.column(0), batch.column(1)]
+                yield pa.RecordBatch.from_arrays(columns, ["tree", "code", "along", "node", "v"])
 
-    return nodes.mapInArrow(run, "tree int, code long, node long, v binary")
+    return nodes.mapInArrow(run, "tree int, code long, along float, node long, v binary")
 
 
 def _edges_in_leaves(leaves: DataFrame, leaf: int, degree: int) -> DataFrame:
     """``a``, ``b``, ``s``: each node's best in each of its leaves."""
-    sizes = leaves.groupBy("tree", "code").agg(F.ceil(F.count(F.lit(1)) / leaf).alias("parts"))
-    salted = leaves.join(sizes, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
+    quantiles = F.percentile_approx("along", [k / SLICES for k in range(1, SLICES)], 10_000)
+    few = leaves.groupBy("tree", "code").agg(F.least(F.ceil(F.count(F.lit(1)) / leaf), F.lit(SLICES)).alias("slices"), quantiles.alias("cuts"))
+    wanted = F.transform(F.sequence(F.lit(1), F.col("slices") - 1), lambda k: F.element_at("cuts", F.ceil(k * SLICES / F.col("slices")).cast("int")))
+    few = few.select("tree", "code", F.when(F.col("slices") > 1, wanted).otherwise(F.array().cast("array<float>")).alias("cuts"))
+    behind = F.size(F.filter("cuts", lambda cut: cut < F.col("along")))
+    sliced = materialise(leaves.join(few, ["tree", "code"]).select("tree", "code", behind.alias("slice"), "node", "v"), "slices")
+    sizes = sliced.groupBy("tree", "code", "slice").agg(F.ceil(F.count(F.lit(1)) / (1.25 * leaf)).alias("parts"))  # quantiles are approximate
+    salted = sliced.join(sizes, ["tree", "code", "slice"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
 
     def run(rows: pa.Table) -> pa.Table:
         ids, x = rows["node"].to_numpy(), _matrix(rows["v"].combine_chunks(), "<f4")
@@ -117,7 +137,7 @@ def _edges_in_leaves(leaves: DataFrame, leaf: int, degree: int) -> DataFrame:
             scores.append(np.take_along_axis(s, top, axis=1))
         return pa.table({"a": np.repeat(ids, k), "b": ids[np.concatenate(best).ravel()], "s": np.concatenate(scores).ravel().astype(np.float32)})
 
-    return salted.select("tree", "code", "part", "node", "v").groupBy("tree", "code", "part").applyInArrow(run, "a long, b long, s float")
+    return salted.select("tree", "code", "slice", "part", "node", "v").groupBy("tree", "code", "slice", "part").applyInArrow(run, "a long, b long, s float")
 
 
 def _best(edges: DataFrame, degree: int) -> DataFrame:
@@ -179,9 +199,13 @@ def _block(node: np.ndarray, blocks: int) -> np.ndarray:
     return (node ^ node >> 7 ^ node >> 17) % blocks
 
 
-def build_graph(nodes: DataFrame, path: str, trees: int = TREES, leaf: int = LEAF, degree: int = DEGREE, rounds: int = ROUNDS) -> int:
-    """Write the neighbour graph of ``nodes`` (``node``, ``v``) below ``path``, in blocks; their number is returned."""
+def build_graph(nodes: DataFrame, path: str, trees: int = TREES, leaf: int = LEAF, degree: int | None = None, rounds: int | None = None) -> int:
+    """Write the neighbour graph of ``nodes`` (``node``, ``v``) below ``path``, in blocks; their number is returned.
+
+    ``rounds``: at most so many, else until the edges hardly change.
+    """
     count = nodes.count()
+    degree = degree or degree_for(count)
     blocks = max(1, -(-count // BLOCK_NODES))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +220,13 @@ def build_graph(nodes: DataFrame, path: str, trees: int = TREES, leaf: int = LEA
     means = nodes.select("v").mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toArrow()
     mean = (means["x"].to_numpy() / max(count, 1)).astype(np.float32)
     edges = materialise(_best(_edges_in_leaves(_leaves(nodes, count, mean, trees, leaf), leaf, degree), degree), "edges")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         found = _descend(edges, nodes, degree)
         old, edges = edges, materialise(_best(edges.unionByName(found), degree), "edges")
+        new = edges.join(old, ["a", "b"], "left_anti").count() if rounds is None else None
         discard(old)
+        if new is not None and new <= STILL * edges.count():
+            break
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
     around = _best(both, 2 * degree)
     lists = around.join(nodes.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.collect_list(F.struct("b", "v")).alias("n"))
@@ -222,8 +249,11 @@ def build_graph(nodes: DataFrame, path: str, trees: int = TREES, leaf: int = LEA
     return blocks
 
 
-def search(queries: DataFrame, path: str, blocks: int, pool: int = POOL, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
-    """``query`` and its pool (``ids``, ``scores``) for ``queries`` (``query``: a node of the graph, ``v``)."""
+def search(queries: DataFrame, path: str, blocks: int, pool: int = POOL, beam: int = BEAM) -> DataFrame:
+    """``query`` and its pool (``ids``, ``scores``) for ``queries`` (``query``: a node of the graph, ``v``).
+
+    A pool's worst score only rises, so every search ends.
+    """
     schema = "query long, v binary, ids array<long>, scores array<float>, done array<boolean>"
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,11 +319,13 @@ def search(queries: DataFrame, path: str, blocks: int, pool: int = POOL, beam: i
         return pa.Table.from_arrays([rows["query"].slice(old, 1), rows["v"].slice(old, 1), *arrays], ["query", "v", "ids", "scores", "done"])
 
     state = materialise(queries.select("query", "v").mapInArrow(begin, schema), "pools")
-    for _ in range(hops):
-        sent = state.mapInArrow(frontier, "block long, query long, v binary, nodes array<long>, least float")
+    waits = F.exists("done", lambda done: ~done)
+    while not state.where(waits).isEmpty():
+        active = state.where(waits)
+        sent = active.mapInArrow(frontier, "block long, query long, v binary, nodes array<long>, least float")
         found = sent.repartition("block").sortWithinPartitions("block").mapInArrow(expand, "query long, ids array<long>, scores array<float>")
         empty = found.select("query", F.lit(None).cast("binary").alias("v"), "ids", "scores", F.lit(None).cast("array<boolean>").alias("done"))
-        old, state = state, materialise(state.unionByName(empty).groupBy("query").applyInArrow(merge, schema), "pools")
+        old, state = state, materialise(active.unionByName(empty).groupBy("query").applyInArrow(merge, schema).unionByName(state.where(~waits)), "pools")
         discard(old)
     return state.select("query", "ids", "scores")
 
@@ -318,7 +350,8 @@ def nearest(
     blocks = build_graph(nodes, path)
     asked = materialise(rows.where(is_query).join(firsts, "vector").select(F.col("vec_id").alias("query_id"), "node"), "asked")
     queries = asked.select("node").distinct().join(nodes, "node").select(F.col("node").alias("query"), "v")
-    pools = search(queries, path, blocks)
+    pool = pool_for(nodes.count())
+    pools = search(queries, path, blocks, pool, max(BEAM, pool // 6))
     best = pools.select("query", F.explode(F.slice("ids", 1, 2 * neighbours + 8)).alias("node"))
     left, right = firsts.select(F.col("node").alias("query"), F.col("vector").alias("x")), firsts.withColumnRenamed("vector", "y")
     exact = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda total, p: total + p)
