@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,11 +10,11 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, tokens
+from tidemark.llm import encoding, packing, tokens
 from tidemark.llm.common import scratch_path
 from tidemark.llm.queries import op2_token_files, op8_best_fit_packing
 
-SPECIAL = [" ", "  ", "\n", " \n", "\t", "a", "é", "1", "'s", "don't", ".", " ", "　", "\x1c", "<|endoftext|>", "日本", "🙂", "​", "\x85", "_", " ", "\r\n", "Straße,\nOf", "×"]
+SPECIAL = [" ", "  ", "\n", " \n", "\t", "a", "é", "1", "'s", "don't", ".", " ", "　", "\x1c", "<|endoftext|>", "日本", "🙂", "​", "\x85", "_", " ", "\r\n", "Straße,\nOf", "×", "÷", "\0", "²", "Жук", "'", "'re", "?!", "12", "\x1f"]
 
 
 @pytest.fixture(scope="module")
@@ -26,21 +27,53 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
-def test_pieces_give_the_library_ids(library):
+def encoded(encode, texts, end_id=None):
+    found = []
+    for ids, counts in encode(pa.array(texts, type=pa.string()), end_id):
+        ends = np.cumsum(counts)
+        found += [ids[a:b].tolist() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+    return found
+
+
+@pytest.mark.parametrize("stretch", [50, 5000, 1 << 20])
+def test_units_give_the_library_ids(library, monkeypatch, stretch):
     draw = random.Random(1)
-    texts = ["".join(draw.choice(SPECIAL) for _ in range(draw.randint(0, 9))) for _ in range(5000)] + ["", "x" * 5000]
-    encode = tokens.encoder()
-    assert encode.kind == "<u2"
-    assert encode(texts) == [np.array(library(t), dtype="<u2").tobytes() for t in texts]
-    again = [ids for group in tokens.groups(pa.array(texts), characters=50) for ids in encode(group)]
-    assert again == encode(texts)
-
-
-def test_a_full_memory_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_BYTES", 0)
-    encode = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert encode(["one two. three,\nFour", "one two"]) == [np.array(library(t), dtype="<u2").tobytes() for t in ("one two. three,\nFour", "one two")]
-    assert not encode.known
+    texts = ["".join(draw.choice(SPECIAL) for _ in range(draw.randint(0, 9))) for _ in range(5000)] + ["", "x" * 5000, None, "x " * 50_000]
+    monkeypatch.setattr(encoding, "GROUP_BYTES", stretch)
+    encode = encoding.encoder()
+    assert encode.kind == "<u2" and encode.cuts
+    assert encoded(encode, texts) == [library(t) for t in texts]
+    assert encoded(encode, texts, 2) == [[*library(t), 2] for t in texts]
+    assert encoded(encode, []) == []
+
+
+@pytest.mark.parametrize("most", [1, 40, 1000])
+def test_a_full_memory_changes_nothing(library, monkeypatch, texts, most):
+    monkeypatch.setattr(encoding, "MOST_UNITS", most)
+    monkeypatch.setattr(encoding, "GROUP_BYTES", 2000)
+    encode = encoding.ColumnEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    some = [texts[k] for k in sorted(texts)[:60]]
+    assert encoded(encode, some) == [library(t) for t in some]
+    assert encode.known.count <= most
+
+
+def test_another_vocabulary_gets_whole_texts():
+    for name in ("byte_bpe_50k.json", *(p.name for p in Path("/opt/tokenizers").glob("*.json"))):
+        path = str(public_tokenizers.path(name)) if name == "byte_bpe_50k.json" else f"/opt/tokenizers/{name}"
+        try:
+            made = Tokenizer.from_file(path)
+        except Exception:  # noqa: BLE001  another kind of file
+            continue
+        texts = ["Straße 12, don't  stop.\n\nNow ", "", "日本 a"]
+        assert encoded(encoding.ColumnEncoder(path), texts) == [made.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_an_id_of_many_rows_is_dealt_over_files():
+    bounds = np.array([3, 5, 5, 5, 8])
+    ids = np.repeat([-(1 << 63), 3, 4, 5, 6, 9], 1000)
+    hashes = np.sort(np.random.default_rng(0).integers(-(1 << 63), (1 << 63) - 1, (6, 1000)), axis=1).ravel()
+    parts = tokens.parts_of(ids, hashes, bounds)
+    assert (np.diff(parts) >= 0).all() and set(parts[ids == 5]) == {1, 2, 3} and set(parts[ids < 4]) == {0} and set(parts[ids == 9]) == {5}
 
 
 @pytest.mark.parametrize("counts", [[0], [1], [4], [0, 5, 4, 0, 1, 1000, 3, 0]])

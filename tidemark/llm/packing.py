@@ -13,7 +13,6 @@ own (pieces of equal ids can't be told apart); an empty table gives no pieces; o
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import END_ID, encoder, groups
+from .encoding import encoder
+from .tokens import END_ID
 from .worker import release_memory
 
 LENGTH = 1024
@@ -45,23 +45,23 @@ def token_pieces(
     vocabulary: str | None = None,
 ) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``; texts themselves go no further."""
-    end = struct.pack("<I", end_id)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
             at = 0
-            for texts in groups(batch.column(1)):
-                rows: list[tuple] = []
-                for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encode(texts), strict=True):
-                    data = memoryview(np.frombuffer(ids, dtype=encode.kind).astype("<u4").tobytes() + end)
-                    total = len(data) // 4
-                    cuts = [0, *range(total % length or length, total + 1, length)]
-                    for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        rows.append((doc_id, piece, a, b - a, zlib.crc32(data[4 * a : 4 * b])))
-                at += len(texts)
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                arrays = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            for ids, totals in encode(batch.column(1), end_id):
+                whole = -(-totals // length)  # pieces of each document
+                row = np.repeat(np.arange(len(totals)), whole)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(whole) - whole, whole)
+                first = totals - (whole - 1) * length
+                end = first[row] + piece * length
+                start = np.where(piece > 0, end - length, 0)
+                place = 4 * np.repeat(np.cumsum(totals) - totals, whole)
+                data = memoryview(ids.astype("<u4").tobytes())
+                crcs = [zlib.crc32(data[a:b]) for a, b in zip((place + 4 * start).tolist(), (place + 4 * end).tolist(), strict=True)]
+                doc_ids = batch.column(0).slice(at, len(totals)).take(pa.array(row))
+                at += len(totals)
+                arrays = [doc_ids, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start), pa.array(crcs, type=pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
         release_memory()
 

@@ -1,33 +1,27 @@
 """Token ids of texts, and files of them.
 
-Encoding. A byte-level BPE vocabulary splits a text before its merges, and always in front of a space that a
-non-space follows. So a text is cut there, every distinct piece goes through the tokenizers library once per
-worker, and the ids of a text are the ids of its pieces, one after another: the library's own result.
+Encoding is in ``encoding``. The ids of the texts are kept once, compressed, until the files are there.
 
-Files. The ids of the texts are kept once, compressed, until the files are there. Ids are replaced by their frequency rank over the whole input, and ranks are written with one to four
-bytes each. Their lengths sit apart in control bytes (two bits a rank, four ranks a byte), so that a block is decoded
+Files. Ids are replaced by their frequency rank over the whole input, and ranks are written with one to four bytes each. Their lengths sit apart in control bytes (two bits a rank, four ranks a byte), so that a block is decoded
 without branches: numpy looks all lengths up in a table of 256 rows. A file holds blocks of about a million tokens:
 
     magic "TIDEIDS1", then per block: documents u32, tokens u64, control bytes u64, data bytes u64,
     document ids i64 each, null flags u8 each, tokens per document u32 each, control bytes, data bytes
 
-Documents are in ascending id order over all the files. ``manifest`` (Parquet, written last) names the files that count, so
+Documents are in ascending id order over all the files. ``manifest`` (Parquet, written last; one row for each of at most ``MOST_FILES`` files) names the files that count, so
 files of failed or repeated task attempts are never read; ``dictionary`` (Parquet) has the id of each rank.
 
 Defined cases: a null or empty text has no ids (and only the end id where one is asked for); a null id comes first;
-rows with equal ids are ordered by a hash of the text; an empty table gives a manifest without rows; other columns are ignored.
+rows with equal ids are ordered by a hash of the text, and dealt over several files by it where one id has more tokens than a file;
+an empty table gives a manifest without rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
-import re
 import struct
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,135 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import remove_path, scratch_path
-from .worker import file_system, per_worker, release_memory
+from .encoding import encoder
+from .worker import file_system, release_memory
 
-VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
 TOKENS_PER_FILE = 1 << 23
-CACHE_BYTES = 250 << 20
-LONG_PIECE = 64
+MOST_FILES = 20_000  # beyond that files grow, so that what the driver sketches doesn't
 MAGIC = b"TIDEIDS1"
 
-_BEFORE_WORD = re.compile(r" (?=\S)")
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
-_SPACE = re.compile(r"\s")
-_MARKS = ".,;:!?\n"
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-_WORD = re.compile(rf"({_LETTERS})([.,;:!?]?)(?:\n({_LETTERS})([.,;:!?]?))?\Z")
-
-
-class PieceEncoder:
-    """Ids of texts as little-endian bytes, 2 for each id if all ids fit, else 4 (``kind``).
-
-    The pieces seen first are remembered, up to ``CACHE_BYTES``.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.size = self.tokenizer.get_vocab_size()
-        self.kind = id_type(self.size)
-        self.spaced = np.zeros(self.size, dtype=bool)
-        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.mapped = {code: as_bytes(chr(code))[0][0] for code in range(192, 256)}
-        self.merges = self.tokenizer.model
-        self.marks = {"": b"", **dict(zip(_MARKS, self.library(list(_MARKS)), strict=True))}
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in encoded]
-
-    def pieces(self, text: str) -> tuple[str, list[str]]:
-        """The text up to its first word start, and the rest cut at each space in front of a word (space left out)."""
-        first, *rest = _BEFORE_WORD.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return first, rest
-
-    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Ids of pieces (each behind a space) that aren't known yet; remembered while there is room."""
-        found: dict[str, bytes] = {}
-        others: list[str] = []
-        word_of, known, merges, mapped, marks = _WORD.match, self.known, self.merges.tokenize, self.mapped, self.marks
-        width = np.dtype(self.kind).itemsize
-        code = "H" if width == 2 else "I"
-        for piece in pieces:  # the split in front of the merges keeps words, a mark behind a word and a line's end apart
-            if not (match := word_of(piece)):
-                others.append(piece)
-                continue
-            word, mark, next_word, next_mark = match.groups()
-            if not (ids := known.get(word)):
-                tokens = merges("\u0120" + (word if word.isascii() else word.translate(mapped)))
-                ids = array(code, [token.id for token in tokens]).tobytes()
-            if next_word:
-                tokens = merges(next_word if next_word.isascii() else next_word.translate(mapped))
-                ids += marks[mark] + marks["\n"] + array(code, [token.id for token in tokens]).tobytes()
-                mark = next_mark
-            found[piece] = ids + marks[mark]
-        plain = [piece for piece in others if not _SPACE.search(piece)]
-        if plain:  # as one text; a piece begins where a token begins with a space
-            ids = np.frombuffer(self.library([" " + " ".join(plain)])[0], dtype=self.kind)
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(plain):
-                data, cuts = ids.tobytes(), [*(width * starts).tolist(), width * len(ids)]
-                found |= {piece: data[cuts[k] : cuts[k + 1]] for k, piece in enumerate(plain)}
-        odd = [piece for piece in others if piece not in found]
-        if odd:
-            found |= zip(odd, self.library([f" {piece}" for piece in odd]), strict=True)
-        if self.held < CACHE_BYTES:
-            kept = {piece: ids for piece, ids in found.items() if len(piece) <= LONG_PIECE}
-            known |= kept
-            self.held += 250 * len(kept)
-        return found
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Pieces of many texts are looked up together, so that the library is called seldom."""
-        whole = [any(token in text for token in self.special) for text in texts]  # these are matched before the text is split
-        cut = [self.pieces("" if w else text) for text, w in zip(texts, whole, strict=True)]
-        heads = self.library([text if w else first for text, w, (first, _) in zip(texts, whole, cut, strict=True)])
-        flat = list(chain.from_iterable(rest for _, rest in cut))
-        coded = list(map(self.known.get, flat))
-        if None in coded:
-            missing = [k for k, ids in enumerate(coded) if ids is None]
-            found = self.learn(dict.fromkeys(flat[k] for k in missing))
-            for k in missing:
-                coded[k] = found[flat[k]]
-        out, at = [], 0
-        for head, (_, rest) in zip(heads, cut, strict=True):
-            out.append(head + b"".join(coded[at : at + len(rest)]))
-            at += len(rest)
-        return out
-
-
-def groups(values: Iterable, characters: int = 1 << 19) -> Iterator[list[str]]:
-    """Texts (nulls as empty ones) of an Arrow column in lists of about so many characters."""
-    group: list[str] = []
-    held = 0
-    for value in values:
-        text = value.as_py() or ""
-        group.append(text)
-        held += len(text)
-        if held >= characters:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
-
-
-def encoder(path: str | None = None) -> PieceEncoder:
-    """The worker's encoder. ``path``: a tokenizer file; None is the installed public vocabulary."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(VOCABULARY)
-    return per_worker("encoder", path, lambda: PieceEncoder(path))
-
-
 def encode(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -180,16 +54,17 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(vocabulary)
-        end = b"" if end_id is None else np.array([end_id], dtype=encode_texts.kind).tobytes()
+        width = np.dtype(encode_texts.kind).itemsize
         total = np.zeros(encode_texts.size, dtype=np.int64)
         for batch in batches:
             at = 0
-            for texts in groups(batch.column(2)):
-                ids = [x + end for x in encode_texts(texts)]
-                total += np.bincount(np.frombuffer(b"".join(ids), dtype=encode_texts.kind), minlength=len(total))
-                rows = batch.slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, type=pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+            for ids, counts in encode_texts(batch.column(2), end_id):
+                total += np.bincount(ids, minlength=len(total))
+                rows = batch.slice(at, len(counts))
+                at += len(counts)
+                offsets = pa.py_buffer(np.append(0, width * np.cumsum(counts)).astype("<i4"))
+                packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets, pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), packed, pa.nulls(len(counts), pa.binary())], names)
         nothing = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array([total.tobytes()], type=pa.binary())], names)
         release_memory()
@@ -306,6 +181,17 @@ def read_blocks(source) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
         yield ids, null, counts, unpack_ranks(control, data, counts)
 
 
+FIRST_ID = -(1 << 63)
+
+
+def parts_of(ids: np.ndarray, text_hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The file of each row, by id, in the order of ids; rows of an id that is several bounds at once are dealt over its files by their hash."""
+    low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+    share = (text_hashes.astype(np.float64) + 2.0**63) / 2.0**64
+    wide = np.maximum(high - low, 1)
+    return (low + np.minimum((share * wide).astype(np.int64), wide - 1)).astype(np.int32)
+
+
 _ENCODED = "part int, doc_id long, text_hash long, n long, control binary, data binary"
 
 
@@ -328,14 +214,15 @@ def write_token_files(
     encoded = written.where("ids is not null").select("doc_id", "text_hash", "ids")
     rank_of = np.empty(size, dtype=id_type(size))
     rank_of[id_of_rank] = np.arange(size, dtype=id_type(size))
-    parts = max(-(-total // tokens_per_file), 1)
+    parts = min(max(-(-total // tokens_per_file), 1), MOST_FILES)
     quantiles = [k / parts for k in range(1, parts)]
-    cuts = encoded.agg(F.percentile_approx("doc_id", quantiles or [0.5], 100 * parts)).first()[0]
-    bounds = np.unique(np.array(cuts if quantiles and cuts else [], dtype=np.int64))
+    place = F.coalesce("doc_id", F.lit(FIRST_ID).cast("long"))
+    cuts = encoded.agg(F.percentile_approx(place, quantiles or [0.5], max(20 * parts, 10_000))).first()[0]
+    bounds = np.array(cuts if quantiles and cuts else [], dtype=np.int64)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = np.searchsorted(bounds, batch.column(0).fill_null(-(1 << 63)).to_numpy(), side="left").astype(np.int32)
+            part = parts_of(batch.column(0).fill_null(FIRST_ID).to_numpy(), batch.column(1).to_numpy(), bounds)
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 ids, counts = _flat_ids(rows.column(2), size)
@@ -345,14 +232,14 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = file_system(path)
-        name, first, docs, tokens = f"tokens-{uuid.uuid4().hex}.ids", None, 0, 0
+        name, part, docs, tokens = f"tokens-{uuid.uuid4().hex}.ids", None, 0, 0
         out = None
         rows: list[tuple[int | None, int, bytes, bytes]] = []
         held = 0
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
                 if out is None:
-                    first = row[0]
+                    part = batch.column(0)[0].as_py()
                     store.create_dir(folder, recursive=True)
                     out = store.open_output_stream(f"{folder}/{name}")
                     out.write(MAGIC)
@@ -367,13 +254,13 @@ def write_token_files(
                 _write_block(out, rows)
             out.close()
             yield pa.RecordBatch.from_pylist(
-                [{"file": name, "first_id": first, "docs": docs, "tokens": tokens}],
-                schema=pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]),
+                [{"file": name, "part": part, "docs": docs, "tokens": tokens}],
+                schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]),
             )
 
     ranked = encoded.mapInArrow(rank, _ENCODED)
-    ordered = ranked.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "text_hash")
-    manifest = ordered.mapInArrow(write, "file string, first_id long, docs long, tokens long")
+    ordered = ranked.repartitionById(parts, "part").sortWithinPartitions("doc_id", "text_hash")
+    manifest = ordered.mapInArrow(write, "file string, part int, docs long, tokens long")
     dictionary = spark.createDataFrame(pa.table({"rank": np.arange(size), "id": id_of_rank.astype(np.int64)}))
     dictionary.coalesce(1).write.parquet(f"{path}/dictionary")
     manifest.write.parquet(f"{path}/manifest")
@@ -385,7 +272,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     dictionary = spark.read.parquet(f"{path}/dictionary").orderBy("rank").toArrow()  # bounded by the vocabulary
     id_of_rank = dictionary.column("id").to_numpy().astype("<u4")
     manifest = spark.read.parquet(f"{path}/manifest")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
