@@ -179,7 +179,8 @@ def test_graph_search_with_small_leaves(spark):
     path = neighbours.scratch_path(spark, "test-graph")
     blocks = neighbours.build_graph(nodes, path, trees=4, leaf=100, degree=16, rounds=2)
     queries = nodes.where("node % 20 = 0").withColumnRenamed("node", "query")
-    pools = {r["query"]: [(i, 0.0) for i in r["ids"] if i != r["query"]][:20] for r in neighbours.search(queries, path, blocks).collect()}
+    found = neighbours.search(neighbours.start_pools(queries), path, blocks, neighbours.POOL).collect()
+    pools = {r["query"]: [(i, 0.0) for i in r["ids"] if i != r["query"]][:20] for r in found}
     assert recall(pools, exact(rows)) >= 0.9
 
 
@@ -191,17 +192,43 @@ def test_search_goes_on_until_the_pool_is_expanded(spark):
     path = neighbours.scratch_path(spark, "test-graph")
     blocks = neighbours.build_graph(nodes, path, trees=4, leaf=100, degree=16)
     queries = nodes.where("node % 100 = 0").withColumnRenamed("node", "query")
-    found = neighbours.search(queries, path, blocks, pool=40, beam=2).collect()
+    found = neighbours.search(neighbours.start_pools(queries), path, blocks, pool=40, beam=2).collect()
     pools = {r["query"]: [(i, 0.0) for i in r["ids"] if i != r["query"]][:20] for r in found}
     assert recall(pools, {q: near for q, near in exact(rows).items() if q in pools}) >= 0.9
 
 
+def test_pools_grow_until_the_sample_is_found(spark):
+    x = np.random.default_rng(3).standard_normal((3000, 24))
+    rows = {k: v.tolist() for k, v in enumerate(x)}
+    nodes = neighbours.materialise(neighbours._as_nodes(neighbours.valid_vectors(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>"))), "nodes")
+    path = neighbours.scratch_path(spark, "test-graph")
+    blocks = neighbours.build_graph(nodes, path, trees=2, leaf=60, degree=8, rounds=1)
+    queries = nodes.where("node % 60 = 0").withColumnRenamed("node", "query")
+    recalls = []
+    for target in (0.0, 0.99):
+        found = neighbours.search_to_recall(nodes, queries, path, blocks, pool=30, target=target).collect()
+        pools = {r["query"]: [(i, 0.0) for i in r["ids"] if i != r["query"]][:20] for r in found}
+        recalls.append(recall(pools, {q: near for q, near in exact(rows).items() if q in pools}))
+    assert recalls[0] < recalls[1] and recalls[1] >= 0.98
+
+
+def test_more_vectors_than_a_leaf_holds(spark):
+    """Queries of the whole function over a table of many leaves, a third of it dense, against brute force."""
+    x = np.random.default_rng(4).standard_normal((6000, 32))
+    x[:2000] = 0.2 * x[:2000] + np.random.default_rng(5).standard_normal(32)
+    rows = {k: (v / np.linalg.norm(v)).tolist() for k, v in enumerate(x)}
+    frame = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    found = answers(neighbours.nearest(frame, F.pmod("vec_id", F.lit(20)) == 0))
+    expected = exact(rows)
+    assert len(rows) > 10 * neighbours.LEAF and found.keys() == expected.keys() and recall(found, expected) >= 0.9
+
+
 def test_crowded_leaves_are_cut_by_place(spark):
     """One dense leaf: the first edges must find more of the nearest than parts dealt at random could."""
     x = np.random.default_rng(1).standard_normal((4000, 8)) * 0.05 + 1
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    nodes = neighbours._as_nodes(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).withColumnRenamed("vec_id", "node")
-    leaves = neighbours._leaves(nodes, 4000, np.zeros(8, np.float32), 1, 200)
+    nodes = neighbours._as_nodes(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"))
+    leaves = neighbours._leaves(nodes.select("node", "v"), 4000, np.zeros(8, np.float32), 1, 200)
     found = neighbours._edges_in_leaves(leaves, 200, 1).select("a", "b").collect()
     best = x @ x.T
     np.fill_diagonal(best, -np.inf)
