@@ -50,8 +50,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return perplexity.verdicts(documents, perplexity.fit_rules(documents))
+    return perplexity.verdicts(perplexity.fit_rules(table(spark, sf_dir, "documents")))
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
