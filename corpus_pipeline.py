@@ -18,7 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep; models and bands are fitted on all documents given."""
-    return perplexity.keep_documents(docs, perplexity.fit_rules(docs))
+    return perplexity.keep_documents(perplexity.fit_rules(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
