@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import avro
 from tidemark.functions.trade import notional, payload_hash, signed_quantity
-from tidemark.model import FX_RATES, INSTRUMENTS, PAYLOAD_FIELDS, PORTFOLIOS, EventType, Side, TradeEvent
+from tidemark.model import FX_RATES, INSTRUMENTS, PAYLOAD_FIELDS, PORTFOLIOS, EventType, Side, BookingEvent
 from tidemark.operators import enrich
 
 EVENT = {
@@ -68,6 +68,32 @@ def test_avro_round_trip_and_broken_bodies(spark):
     assert broken["parse_failed"] and short["parse_failed"]
 
 
+@pytest.mark.parametrize("name", ["event_version", "event_ts", "produced_ts", "quantity"])
+@pytest.mark.parametrize("value", [1 << 63, -(1 << 63) - 1, 1 << 90])
+def test_numbers_of_more_than_64_bits_break_only_their_message(spark, name, value):
+    names = [field["name"] for field in avro.CONTRACT["fields"]]
+    before = {field: EVENT[field] for field in names[: names.index(name)]}
+    zigzag, out = (value << 1) if value >= 0 else (-value << 1) - 1, bytearray()
+    while zigzag > 0x7F:
+        out.append(zigzag & 0x7F | 0x80)
+        zigzag >>= 7
+    whole = avro.encode_body(EVENT)
+    start = len(avro.encode_body(before, {"fields": avro.CONTRACT["fields"][: len(before)]}))
+    size = len(avro.encode_body(before | {name: EVENT[name]}, {"fields": avro.CONTRACT["fields"][: len(before) + 1]})) - start
+    broken = whole[:start] + bytes([*out, zigzag]) + whole[start + size :]
+    assert avro.decode_body(broken) is None
+    if value == 1 << 63:
+        bad, good = enriched(spark, avro.framed(broken), avro.framed(whole), avro_format=True)
+        assert bad["parse_failed"] and not good["parse_failed"]
+
+
+def test_extreme_numbers_within_64_bits_stop_no_job(spark):
+    extreme = [EVENT | {name: value} for name in ("event_ts", "produced_ts", "quantity") for value in ((1 << 63) - 1, -(1 << 63))]
+    rows = enriched(spark, *(avro.framed(avro.encode_body(e)) for e in extreme), avro_format=True)
+    assert len(rows) == 6 and not any(r["parse_failed"] for r in rows)
+    assert sum(r["event_ts"] is None for r in rows) == 2
+
+
 def test_negative_prices_survive_avro():
     assert avro.decode_body(avro.encode_body(EVENT | {"price": "-0.0129"}))["price"] == "-0.0129"
 
@@ -97,7 +123,7 @@ def test_a_repeated_dimension_key_multiplies_nothing(spark):
 
 
 def test_record_round_trip():
-    event = TradeEvent.from_dict(EVENT)
+    event = BookingEvent.read(EVENT)
     assert event.event_type is EventType.NEW and event.side is Side.BUY
-    assert event.to_dict() == EVENT
-    assert TradeEvent.from_dict({k: v for k, v in EVENT.items() if k != "source_system"}).source_system == "SYNTHETIC_OMS"
+    assert event.as_record() == EVENT
+    assert BookingEvent.read({k: v for k, v in EVENT.items() if k != "source_system"}).source_system == "SYNTHETIC_OMS"

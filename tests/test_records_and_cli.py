@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from tidemark import cli
-from tidemark.model import TradeEvent
+from tidemark.model import BookingEvent
 from tidemark.operators import records
 from tidemark.streaming.store import Store
 
@@ -23,7 +23,7 @@ def test_record_hash_ignores_delivery():
 
 
 def make(number, version, kind, price="10.0000", trade="T1"):
-    return TradeEvent.from_dict(EVENT | {"event_id": f"E{number}", "event_version": version, "event_type": kind, "price": price, "trade_id": trade, "event_ts": 1786454400000 + version * 1000})
+    return BookingEvent.read(EVENT | {"event_id": f"E{number}", "event_version": version, "event_type": kind, "price": price, "trade_id": trade, "event_ts": 1786454400000 + version * 1000})
 
 
 def test_events_of_several_trades():

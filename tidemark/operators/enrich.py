@@ -13,6 +13,11 @@ from ..model import PAYLOAD
 CORRUPT = "_corrupt_record"
 
 
+def instant(millis: Column) -> Column:
+    """A timestamp from epoch milliseconds; null outside the years 1 to 9999, so that no number stops a job."""
+    return F.when(millis.between(-62_135_596_800_000, 253_402_300_799_999), F.timestamp_millis(millis))
+
+
 def decode(messages: DataFrame) -> DataFrame:
     """Bronze messages with the event's fields and ``parse_failed``.
 
@@ -27,8 +32,8 @@ def decode(messages: DataFrame) -> DataFrame:
     names = [name for name in PAYLOAD.fieldNames() if name != "replay_offset"]
     staged = staged.withColumn("__good", good_json)
     fields = {name: F.coalesce(F.col(f"__good.{name}"), F.col(f"__avro.{name}")) for name in names}
-    fields["event_ts"] = F.timestamp_millis(fields["event_ts"])
-    fields["produced_ts"] = F.timestamp_millis(fields["produced_ts"])
+    fields["event_ts"] = instant(fields["event_ts"])
+    fields["produced_ts"] = instant(fields["produced_ts"])
     fields["price"] = price_from_text(fields["price"])
     failed = F.col("__good").isNull() & F.col("__avro").isNull()
     columns = [column.alias(name) for name, column in fields.items()]

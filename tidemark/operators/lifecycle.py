@@ -35,10 +35,16 @@ def unseen(batch: DataFrame, ledger: DataFrame | None) -> DataFrame:
     return once if ledger is None else once.join(ledger.select(*MESSAGE_KEY), list(MESSAGE_KEY), "left_anti")
 
 
-def classify(batch: DataFrame, ledger: DataFrame | None = None, current: DataFrame | None = None, strict: bool = False) -> DataFrame:
+#: What a decision rests on; ``classify`` can return it. The first two are known for every row.
+EVIDENCE = ("event_id_seen", "event_id_rank", "payload_rank", "conflict", "prior_max", "prior_new", "prior_cancel")
+
+
+def classify(
+    batch: DataFrame, ledger: DataFrame | None = None, current: DataFrame | None = None, strict: bool = False, evidence: tuple[str, ...] = ()
+) -> DataFrame:
     """``batch`` with ``outcome`` and ``outcome_reason``. ``strict``: a cancel that is stale itself doesn't end a trade.
 
-    ``ledger``: outcomes of earlier batches; ``current``: the state they led to.
+    ``ledger``: outcomes of earlier batches; ``current``: the state they led to; ``evidence``: columns of ``EVIDENCE`` to return.
     """
     rows = unseen(batch, ledger)
     if ledger is None:
@@ -106,7 +112,9 @@ def classify(batch: DataFrame, ledger: DataFrame | None = None, current: DataFra
         outcome, reason = F, F
         for condition, name, why in cases:
             outcome, reason = outcome.when(condition, str(name)), reason.when(condition, why)
-        return frame.select(*batch.columns, outcome.alias("outcome"), reason.alias("outcome_reason"))
+        kinds = {"event_id_seen": "boolean", "conflict": "boolean"}
+        shown = (F.col(name) if name in frame.columns else F.lit(None).cast(kinds.get(name, "int")).alias(name) for name in evidence)
+        return frame.select(*batch.columns, outcome.alias("outcome"), reason.alias("outcome_reason"), *shown)
 
     return decided(keyed, always + windowed).unionByName(decided(loose, always))
 
@@ -125,10 +133,15 @@ def ledger_rows(classified: DataFrame, stream_id: str, batch_id: int) -> DataFra
     ).select(*OUTCOMES.fieldNames())
 
 
+def latest_per(frame: DataFrame, key: str, *order: str) -> DataFrame:
+    """The row of each key that is largest by the columns of ``order``, the first one deciding first."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*map(F.desc, order)))
+    return frame.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
+
+
 def latest_per_trade(applied: DataFrame) -> DataFrame:
     """The row of each trade with the highest version (then latest event, then last offset)."""
-    order = Window.partitionBy("trade_id").orderBy(F.desc("event_version"), F.desc("event_ts"), F.desc("offset"), F.desc("partition"), F.desc("topic"))
-    return applied.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") == 1).drop("__rank")
+    return latest_per(applied, "trade_id", "event_version", "event_ts", "offset", "partition", "topic")
 
 
 def trade_status(event_type: Column) -> Column:
@@ -140,14 +153,12 @@ def trade_status(event_type: Column) -> Column:
 SEQUENTIAL = "event_id string, trade_id string, event_version int, outcome string, reason string"
 
 
-def step(event: tuple, state: tuple | None, seen) -> tuple[str, str, tuple | None]:
-    """Outcome, reason and new state for an (event_id, version, type, hash) of a trade; state is (version, status, hash).
+def step(event: tuple, state: tuple | None, known: bool) -> tuple[str, str, tuple | None]:
+    """Outcome, reason and new state for a (version, type, hash) of a trade; state is (version, status, hash).
 
-    ``seen`` is asked for the id and gets it, whatever the outcome.
+    ``known``: the event's id came before, in whatever trade and with whatever outcome.
     """
-    event_id, version, kind, digest = event
-    known = event_id in seen
-    seen.add(event_id)
+    version, kind, digest = event
     if known:
         return Outcome.DUPLICATE.value, "DUPLICATE_EVENT_ID", state
     if state is None:
@@ -170,32 +181,43 @@ def step(event: tuple, state: tuple | None, seen) -> tuple[str, str, tuple | Non
 
 
 def fold_events(events: Iterable[tuple], state: tuple | None = None, seen=None) -> Iterator[tuple]:
-    """``(outcome, reason, state)`` after each of one trade's events."""
+    """``(outcome, reason, state)`` after each (event_id, version, type, hash) of one trade. ``seen`` is asked for each id and gets it."""
     seen = set() if seen is None else seen
-    for event in events:
-        outcome, reason, state = step(event, state, seen)
+    for event_id, *event in events:
+        known = event_id in seen
+        seen.add(event_id)
+        outcome, reason, state = step(tuple(event), state, known)
         yield outcome, reason, state
 
 
 def classify_in_order(events: DataFrame) -> DataFrame:
-    """The fold over every trade's events in order of arrival. Event ids are taken to belong to one trade.
+    """The fold over every trade's events in order of arrival; an id that came before in any trade makes a duplicate.
 
-    Trades are sorted by arrival inside their partitions and folded as they stream by: a task holds one trade's ids at a time.
+    Ids are ranked by arrival first (one exchange by id), then trades are sorted by arrival inside their partitions and folded as they
+    stream by: a task holds one trade's state at a time. A missing id repeats none; an event without a trade has no lifecycle
+    and is quarantined where it is. Neither gathers in one task.
     """
     names = ["event_id", "trade_id", "event_version", "event_type", "payload_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trade, state, seen = object(), None, set()
+        trade, state = object(), None
         for batch in batches:
             decided = []
-            for event_id, trade_id, version, kind, digest in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for trade_id, version, kind, digest, known in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
                 if trade_id != trade:
-                    trade, state, seen = trade_id, None, set()
-                outcome, reason, state = step((event_id, version, kind, digest), state, seen)
+                    trade, state = trade_id, None
+                outcome, reason, state = step((version, kind, digest), state, known)
                 decided.append((outcome, reason))
             outcomes, reasons = zip(*decided, strict=True) if decided else ((), ())
             added = [pa.array(outcomes, type=pa.string()), pa.array(reasons, type=pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *added], ["event_id", "trade_id", "event_version", "outcome", "reason"])
 
-    ordered = events.select(*names, *MESSAGE_KEY).repartition("trade_id").sortWithinPartitions("trade_id", *MESSAGE_KEY)
-    return ordered.select(*names).mapInArrow(run, SEQUENTIAL)
+    rows = events.select(*names, *MESSAGE_KEY)
+    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(*_arrival()))
+    ranked = rows.where("event_id is not null").withColumn("known", rank > 1).unionByName(rows.where("event_id is null").withColumn("known", F.lit(False)))
+    ordered = ranked.where("trade_id is not null").repartition("trade_id").sortWithinPartitions("trade_id", *MESSAGE_KEY)
+    folded = ordered.select(*names, "known").mapInArrow(run, SEQUENTIAL)
+    outcome = F.when(F.col("known"), str(Outcome.DUPLICATE)).otherwise(str(Outcome.QUARANTINED))
+    reason = F.when(F.col("known"), "DUPLICATE_EVENT_ID").otherwise("MISSING_TRADE_ID")
+    loose = ranked.where("trade_id is null").select("event_id", "trade_id", "event_version", outcome.alias("outcome"), reason.alias("reason"))
+    return folded.unionByName(loose)

@@ -12,7 +12,7 @@ from collections.abc import Collection, Iterable, Mapping
 from decimal import Decimal, InvalidOperation
 from typing import Any, NamedTuple
 
-from ..model import PAYLOAD_FIELDS, EventType, Side, TradeEvent
+from ..model import PAYLOAD_FIELDS, EventType, Side, BookingEvent
 from .lifecycle import fold_events
 
 
@@ -69,13 +69,13 @@ def failed_rules(
 
 
 def classify_events(
-    events: Iterable[TradeEvent], states: Mapping[str, State] | None = None, seen: Collection[str] = ()
+    events: Iterable[BookingEvent], states: Mapping[str, State] | None = None, seen: Collection[str] = ()
 ) -> tuple[list[Decision], dict[str, State]]:
     """Outcomes of events of any trades in order of arrival, and the states that they lead to."""
     states, ids = dict(states or {}), set(seen)
     decisions = []
     for event in events:
-        item = event.event_id, event.event_version, event.event_type, record_hash(event.to_dict())
+        item = event.event_id, event.event_version, event.event_type, record_hash(event.as_record())
         outcome, reason, state = next(fold_events([item], states.get(event.trade_id), ids))
         if state is not None:
             states[event.trade_id] = State(*state)

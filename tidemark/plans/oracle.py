@@ -61,7 +61,7 @@ ruled AS (
     CASE WHEN cad_rate IS NULL THEN 'MISSING_FX_RATE' END,
     CASE WHEN instrument_currency <> trade_currency THEN 'TRADE_CURRENCY_MISMATCH' END], lambda x: x IS NOT NULL), '|') AS failure_reason
   FROM joined),
-ev AS (
+ev AS MATERIALIZED (
   SELECT *, CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END AS signed_quantity,
     CAST(quantity * price AS DECIMAL(28,4)) AS local_notional,
     CAST(CAST(quantity * price * cad_rate AS DECIMAL(38,6)) AS DECIMAL(28,4)) AS notional_cad,
@@ -71,14 +71,14 @@ ev AS (
   FROM ruled)"""
 
 
-def classified(source: str, ledger: str | None = None, state: str | None = None, name: str = "cls") -> str:
-    """CTEs that classify the rows of ``source``, given a ledger and a state (names of CTEs)."""
-    seen = f"event_id IN (SELECT event_id FROM {ledger})" if ledger else "false"
+def classified(source: str, ledger: str | None = None, state: str | None = None, name: str = "cls", broken: str = "false") -> str:
+    """CTEs that classify the rows of ``source``, given a ledger and a state (names of CTEs). ``broken``: the payload couldn't be read."""
+    seen = f"coalesce(event_id IN (SELECT event_id FROM {ledger} WHERE event_id IS NOT NULL), false)" if ledger else "false"
     stored = f"LEFT JOIN {state} st USING (trade_id)" if state else "CROSS JOIN (SELECT CAST(NULL AS INTEGER) AS sv, CAST(NULL AS VARCHAR) AS ss, CAST(NULL AS VARCHAR) AS sh) st"
     unseen = f'WHERE "offset" NOT IN (SELECT "offset" FROM {ledger})' if ledger else ""
     return f"""
 {name}_a AS (
-  SELECT *, failure_reason = '' AS clean, {seen} AS seen, row_number() OVER (PARTITION BY event_id ORDER BY "offset") AS id_rank,
+  SELECT *, failure_reason = '' AS clean, {seen} AS seen, CASE WHEN event_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY event_id ORDER BY "offset") END AS id_rank,
          row_number() OVER (PARTITION BY trade_id, event_version, payload_hash ORDER BY "offset") AS payload_rank
   FROM {source} {unseen}),
 {name}_n AS (SELECT trade_id, event_version, count(DISTINCT payload_hash) AS payloads FROM {name}_a WHERE clean GROUP BY ALL),
@@ -97,11 +97,11 @@ def classified(source: str, ledger: str | None = None, state: str | None = None,
            WHEN sv IS NULL THEN (event_type = 'NEW' AND event_version = 1 AND prior_new = 0) OR (event_type <> 'NEW' AND prior_new = 1)
            ELSE event_type <> 'NEW' END AS allowed
   FROM {name}_c),
-{name} AS (
-  SELECT *, CASE WHEN seen OR id_rank > 1 THEN 'DUPLICATE' WHEN NOT clean THEN 'QUARANTINED' WHEN clean AND payloads > 1 THEN 'VERSION_CONFLICT'
+{name} AS MATERIALIZED (
+  SELECT *, CASE WHEN {broken} THEN 'QUARANTINED' WHEN seen OR id_rank > 1 THEN 'DUPLICATE' WHEN NOT clean THEN 'QUARANTINED' WHEN clean AND payloads > 1 THEN 'VERSION_CONFLICT'
     WHEN payload_rank > 1 THEN 'DUPLICATE' WHEN event_version = sv THEN CASE WHEN payload_hash = sh THEN 'DUPLICATE' ELSE 'VERSION_CONFLICT' END
     WHEN event_version < low THEN 'STALE_VERSION' WHEN NOT allowed THEN 'QUARANTINED' ELSE 'APPLIED' END AS outcome,
-    CASE WHEN seen THEN 'DUPLICATE_EVENT_ID' WHEN id_rank > 1 THEN 'DUPLICATE_EVENT_ID_IN_BATCH' WHEN NOT clean THEN failure_reason
+    CASE WHEN {broken} THEN 'PAYLOAD_DESERIALIZATION_FAILED' WHEN seen THEN 'DUPLICATE_EVENT_ID' WHEN id_rank > 1 THEN 'DUPLICATE_EVENT_ID_IN_BATCH' WHEN NOT clean THEN failure_reason
     WHEN payloads > 1 THEN 'CONFLICTING_TRADE_VERSION' WHEN payload_rank > 1 THEN 'REPLAYED_TRADE_VERSION'
     WHEN event_version = sv THEN 'EXISTING_TRADE_VERSION' WHEN event_version < low THEN 'LOWER_THAN_APPLIED_VERSION'
     WHEN NOT allowed THEN 'INVALID_LIFECYCLE_TRANSITION' ELSE 'ACCEPTED_HIGHER_VERSION' END AS reason
@@ -128,7 +128,25 @@ POSITION_COLUMNS = """portfolio_id, instrument_id, CAST(sum(signed_quantity) AS
   count(trade_id) AS active_trade_count"""
 NOTIONAL_COLUMNS = """portfolio_id, trade_currency, count(trade_id) AS active_trade_count, CAST(sum(local_notional) AS DECIMAL(38,4)) AS gross_local_notional,
   CAST(sum(notional_cad) AS DECIMAL(38,4)) AS gross_notional_cad, CAST(sum(signed_notional_cad) AS DECIMAL(38,4)) AS net_signed_notional_cad"""
-# A corrupted copy of the positions, for comparisons that must fail: one group missing, one shifted by a cent, one by more.
 BATCHES = """
 first_batch AS (SELECT * FROM ev WHERE "offset" % 100000 <= 2), second_batch AS (SELECT * FROM ev WHERE "offset" % 100000 > 1)"""
+# The scenario run: unreadable and incomplete messages, replays of a payload under another event id, inactive portfolios.
+_FIELDS = ("trade_id", "event_type", "portfolio_id", "instrument_id", "side", "quantity", "price", "trade_currency")
+_LOST = {"event_id": "22, 23", "trade_id": "22, 24", "event_ms": "22, 27", "trade_date": "22, 27"} | {name: "22" for name in _FIELDS if name != "trade_id"}
+_REPLACED = ", ".join(f"CASE WHEN k NOT IN ({ks}) THEN {name} END AS {name}" for name, ks in _LOST.items() if name != "event_type")
+SCENARIO_MESSAGES = MESSAGES.replace("msg AS (", "plain AS (") + f""",
+msg AS (
+  SELECT * REPLACE ({_REPLACED}, CASE WHEN k = 22 THEN NULL WHEN k = 25 THEN 0 ELSE event_version END AS event_version,
+                    CASE WHEN k = 22 THEN NULL WHEN k = 26 THEN 'BUST' ELSE event_type END AS event_type), k = 22 AS parse_failed FROM plain
+  UNION ALL SELECT * REPLACE (event_id || '-R' AS event_id, "offset" + 30000 AS "offset"), false FROM plain WHERE k = 21)"""
+SCENARIO_INPUT = (
+    SCENARIO_MESSAGES,
+    RATES,
+    DIMENSIONS.replace("s_acctbal > -900", "s_suppkey % 10 <> 0"),
+    ENRICHED.replace("CASE WHEN event_type NOT IN ('NEW', 'AMEND', 'CANCEL') THEN 'INVALID_EVENT_TYPE' END,", """
+    CASE WHEN parse_failed THEN 'PAYLOAD_DESERIALIZATION_FAILED' END, CASE WHEN event_id IS NULL THEN 'MISSING_EVENT_ID' END,
+    CASE WHEN trade_id IS NULL THEN 'MISSING_TRADE_ID' END, CASE WHEN event_version IS NULL OR event_version <= 0 THEN 'INVALID_EVENT_VERSION' END,
+    CASE WHEN event_type IS NULL OR event_type NOT IN ('NEW', 'AMEND', 'CANCEL') THEN 'INVALID_EVENT_TYPE' END,
+    CASE WHEN event_ms IS NULL THEN 'MISSING_EVENT_TIMESTAMP' END,"""),
+)
 STATE = "st AS (SELECT trade_id, event_version AS sv, trade_status AS ss, payload_hash AS sh FROM cur1)"

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.trade import stable_instrument_id
 from ..operators import enrich, gold, lifecycle, reconcile, state
@@ -45,6 +44,13 @@ def _current(classified: DataFrame) -> DataFrame:
     return latest.withColumns({"trade_status": lifecycle.trade_status(F.col("event_type")), "current_version": F.col("event_version")})
 
 
+def _written(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder, where its readers find the same rows whatever is lost."""
+    path = shared_folder(spark, label)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 # decoding, projection, filters
 
 
@@ -81,9 +87,18 @@ def decode_json_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(_bronze(spark, sf_dir, avro=False))
 
 
-@query(oracle.with_(oracle.MESSAGES, select=f"SELECT {_DECODED} FROM (SELECT *, false AS parse_failed FROM msg WHERE side <> 'HOLD' AND price IS NOT NULL)"))
+@query(oracle.with_(oracle.MESSAGES, select=f"""
+SELECT {_DECODED} FROM (SELECT *, false AS parse_failed FROM msg WHERE side <> 'HOLD' AND price IS NOT NULL AND k NOT BETWEEN 80 AND 84 UNION ALL
+  SELECT NULL AS event_id, NULL AS trade_id, NULL AS event_version, NULL AS event_type, NULL AS event_ms, NULL AS trade_date, NULL AS portfolio_id,
+         NULL AS instrument_id, NULL AS side, NULL AS quantity, NULL AS price, NULL AS trade_currency, "offset", k, true AS parse_failed
+  FROM msg WHERE side <> 'HOLD' AND price IS NOT NULL AND k BETWEEN 80 AND 84)"""))
 def decode_avro_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(_bronze(spark, sf_dir, avro=True))
+    """Some bodies are broken: cut off, with a byte too many, with numbers of more than 64 bits, empty, or without a frame."""
+    bronze, value = _bronze(spark, sf_dir, avro=True), F.col("raw_value")
+    endless = F.unhex(F.lit("00000000010261026202040202ffffffffffffffffffff7f"))
+    broken = F.when(F.col("k") == 80, F.substr(value, F.lit(1), F.length(value) - 1)).when(F.col("k") == 81, F.concat(value, F.unhex(F.lit("00"))))
+    broken = broken.when(F.col("k") == 82, endless).when(F.col("k") == 83, F.substr(value, F.lit(1), F.lit(5))).when(F.col("k") == 84, F.unhex(F.lit("00")))
+    return _decoded(bronze.withColumn("raw_value", broken.otherwise(value)))
 
 
 @query(oracle.with_(oracle.MESSAGES, select="SELECT event_id, \"offset\", payload_hash FROM (SELECT *, sha256(concat_ws('|', trade_id, event_version, event_type, event_ms, portfolio_id, instrument_id, side, quantity, coalesce(CAST(price AS VARCHAR), '∅'), trade_currency)) AS payload_hash FROM msg)"))
@@ -120,8 +135,8 @@ def enrich_broadcast_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle.with_(*oracle.INPUT, select="SELECT trade_currency, count(*) AS n, count(cad_rate) AS n_rated, CAST(sum(cad_rate) AS DECIMAL(38,6)) AS rate_sum FROM joined GROUP BY trade_currency"))
 def fx_two_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = trades.rates(spark, sf_dir).select(F.col("currency").alias("trade_currency"), F.col("rate_date").alias("trade_date"), "cad_rate")
-    joined = trades.messages(spark, sf_dir).join(fx, ["trade_currency", "trade_date"], "left")
+    dimensions = (make(spark, sf_dir) for make in (trades.instruments, trades.portfolios, trades.rates))
+    joined = enrich.join_dimensions(trades.messages(spark, sf_dir), *dimensions)
     return joined.groupBy("trade_currency").agg(F.count(F.lit(1)).alias("n"), F.count("cad_rate").alias("n_rated"), F.sum("cad_rate").cast("decimal(38,6)").alias("rate_sum"))
 
 
@@ -137,11 +152,10 @@ def anti_join_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.unseen(second, first).select(*KEY)
 
 
-@query(oracle.with_(*oracle.INPUT, oracle.BATCHES, select='SELECT event_id, "offset", event_id IN (SELECT event_id FROM first_batch) AS event_id_seen FROM second_batch'))
+@query(oracle.with_(*oracle.INPUT, oracle.BATCHES, oracle.classified("second_batch", "first_batch", name="c2"), select='SELECT event_id, "offset", seen AS event_id_seen FROM c2'))
 def seen_id_marker_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = _batches(spark, sf_dir)
-    ids = first.select("event_id").distinct().withColumn("seen", F.lit(True))
-    return second.join(ids, "event_id", "left").select(*KEY, F.coalesce("seen", F.lit(False)).alias("event_id_seen"))
+    return lifecycle.classify(second, first, evidence=("event_id_seen",)).select(*KEY, "event_id_seen")
 
 
 @query(oracle.with_(oracle.MESSAGES, select='SELECT event_id, "offset", count(*) OVER () AS n FROM (SELECT DISTINCT event_id, "offset" FROM msg)'))
@@ -154,30 +168,27 @@ def dedupe_message_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 # windows
 
 
-@query(oracle.with_(oracle.MESSAGES, select='SELECT event_id, "offset", row_number() OVER (PARTITION BY event_id ORDER BY "offset") AS event_id_rank FROM msg'))
+@query(oracle.with_(*oracle.ALL, select='SELECT event_id, "offset", id_rank AS event_id_rank, payload_rank FROM cls'))
 def event_id_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy("topic", "partition", "offset"))
-    return trades.messages(spark, sf_dir).select(*KEY, rank.cast("long").alias("event_id_rank"))
+    ranked = lifecycle.classify(trades.enriched(spark, sf_dir), evidence=("event_id_rank", "payload_rank"))
+    return ranked.select(*KEY, F.col("event_id_rank").cast("long").alias("event_id_rank"), F.col("payload_rank").cast("long").alias("payload_rank"))
 
 
 @query(oracle.with_(*oracle.INPUT, select="SELECT trade_id, event_version, count(DISTINCT payload_hash) AS payloads FROM ev WHERE failure_reason = '' GROUP BY ALL HAVING count(DISTINCT payload_hash) > 1"))
 def version_payload_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = trades.enriched(spark, sf_dir).where("failure_reason = ''")
-    return clean.groupBy("trade_id", "event_version").agg(F.count_distinct("payload_hash").alias("payloads")).where("payloads > 1")
+    found = lifecycle.classify(trades.enriched(spark, sf_dir), evidence=("conflict",)).where("conflict")
+    return found.groupBy("trade_id", "event_version").agg(F.count_distinct("payload_hash").alias("payloads"))
 
 
-@query(oracle.with_(*oracle.INPUT, select="""SELECT event_id, "offset", max(event_version) OVER w AS prior_max, min(CASE WHEN event_type = 'CANCEL' THEN event_version END) OVER w AS prior_cancel
-FROM ev WINDOW w AS (PARTITION BY trade_id ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
+@query(oracle.with_(*oracle.ALL, select='SELECT event_id, "offset", prior_max, prior_new, prior_cancel FROM cls'))
 def prior_running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = Window.partitionBy("trade_id").orderBy("topic", "partition", "offset").rowsBetween(Window.unboundedPreceding, -1)
-    cancel = F.min(F.when(F.col("event_type") == "CANCEL", F.col("event_version"))).over(before)
-    return trades.messages(spark, sf_dir).select(*KEY, F.max("event_version").over(before).alias("prior_max"), cancel.alias("prior_cancel"))
+    names = ("prior_max", "prior_new", "prior_cancel")
+    return lifecycle.classify(trades.enriched(spark, sf_dir), evidence=names).select(*KEY, *names)
 
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, sf_dir, "events").withColumn("r", rank).where("r = 1").select("user_id", "event_id", "event_type", "value")
+    return lifecycle.latest_per(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
 # classifier
@@ -193,43 +204,85 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).groupBy("outcome", F.col("outcome_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(oracle.with_(*oracle.SCENARIO_INPUT, select="SELECT code, count(*) AS n FROM (SELECT unnest(string_split(failure_reason, '|')) AS code FROM ruled WHERE failure_reason <> '') GROUP BY code"))
+def scenario_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fifteen rules are raised."""
+    return trades.scenario_enriched(spark, sf_dir).select(F.explode("failed_rules").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(oracle.with_(*oracle.SCENARIO_INPUT, oracle.classified("ev", broken="parse_failed"), select='SELECT "offset", event_id, trade_id, outcome, reason FROM cls'))
+def scenario_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch with unreadable messages, missing keys and payloads that come again under another event id."""
+    decided = lifecycle.classify(trades.scenario_enriched(spark, sf_dir))
+    return decided.select("offset", "event_id", "trade_id", "outcome", F.col("outcome_reason").alias("reason"))
+
+
+_SCENARIO_TWO = (
+    *oracle.SCENARIO_INPUT, oracle.BATCHES, oracle.classified("first_batch", name="c1", broken="parse_failed"), oracle.current("c1", "cur1"), oracle.STATE,
+    oracle.classified("second_batch", "c1", "st", name="c2", broken="parse_failed"),
+)
+
+
+@query(oracle.with_(*_SCENARIO_TWO, select='SELECT "offset", event_id, trade_id, outcome, reason FROM c2'))
+def scenario_second_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in a second batch: a stored version comes again, with the same payload under another id."""
+    rows = trades.scenario_enriched(spark, sf_dir)
+    place = F.col("offset") % 100_000
+    ledger = _written(spark, lifecycle.classify(rows.where(place <= 2)), "ledger")
+    decided = lifecycle.classify(rows.where(place > 1), ledger, _current(ledger))
+    return decided.select("offset", "event_id", "trade_id", "outcome", F.col("outcome_reason").alias("reason"))
+
+
 _TWO = (*oracle.INPUT, oracle.BATCHES, oracle.classified("first_batch", name="c1"), oracle.current("c1", "cur1"), oracle.STATE)
 
 
 @query(oracle.with_(*_TWO, oracle.classified("second_batch", "c1", "st", name="c2"), select='SELECT event_id, "offset", outcome, reason FROM c2'))
 def second_batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = _batches(spark, sf_dir)
-    ledger = lifecycle.classify(first).persist()  # in the pipeline this is a table
+    ledger = _written(spark, lifecycle.classify(first), "ledger")
     decided = lifecycle.classify(second, ledger, _current(ledger))
     return decided.select(*KEY, "outcome", F.col("outcome_reason").alias("reason"))
 
 
 @query("""WITH RECURSIVE """ + ",".join((*oracle.INPUT, """
-line AS (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY "offset") AS n, row_number() OVER (PARTITION BY trade_id, event_id ORDER BY "offset") AS again FROM ev),
+shared AS (SELECT * REPLACE (CASE WHEN k = 30 THEN concat('SHARED-', "offset" // 1000000) ELSE event_id END AS event_id) FROM ev),
+line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY "offset") AS n, row_number() OVER (PARTITION BY event_id ORDER BY "offset") AS again FROM shared),
 step AS (
-  SELECT trade_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS INTEGER) AS v, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS h, CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS BIGINT) AS o, CAST(NULL AS VARCHAR) AS outcome
+  SELECT trade_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS INTEGER) AS v, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS h, CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS BIGINT) AS o, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS reason
   FROM line WHERE n = 1
   UNION ALL
   SELECT trade_id, n, CASE WHEN outcome = 'APPLIED' THEN event_version ELSE v END, CASE WHEN outcome = 'APPLIED' THEN CASE WHEN event_type = 'CANCEL' THEN 'CANCELLED' ELSE 'BOOKED' END ELSE s END,
-         CASE WHEN outcome = 'APPLIED' THEN payload_hash ELSE h END, event_id, o, outcome
+         CASE WHEN outcome = 'APPLIED' THEN payload_hash ELSE h END, event_id, o, outcome, reason
   FROM (SELECT l.trade_id, l.n, s.v, s.s, s.h, l.event_version, l.event_type, l.payload_hash, l.event_id, l."offset" AS o,
           CASE WHEN l.again > 1 THEN 'DUPLICATE' WHEN l.event_version < s.v THEN 'STALE_VERSION'
                WHEN l.event_version = s.v THEN CASE WHEN l.payload_hash = s.h THEN 'DUPLICATE' ELSE 'VERSION_CONFLICT' END
                WHEN s.v IS NULL AND NOT (l.event_type = 'NEW' AND l.event_version = 1) THEN 'QUARANTINED'
-               WHEN s.s = 'CANCELLED' OR (s.v IS NOT NULL AND l.event_type = 'NEW') THEN 'QUARANTINED' ELSE 'APPLIED' END AS outcome
+               WHEN s.s = 'CANCELLED' OR (s.v IS NOT NULL AND l.event_type = 'NEW') THEN 'QUARANTINED' ELSE 'APPLIED' END AS outcome,
+          CASE WHEN l.again > 1 THEN 'DUPLICATE_EVENT_ID' WHEN l.event_version < s.v THEN 'LOWER_THAN_CURRENT_VERSION'
+               WHEN l.event_version = s.v THEN CASE WHEN l.payload_hash = s.h THEN 'REPLAYED_TRADE_VERSION' ELSE 'CONFLICTING_TRADE_VERSION' END
+               WHEN s.v IS NULL AND NOT (l.event_type = 'NEW' AND l.event_version = 1) THEN 'LIFECYCLE_MUST_START_WITH_NEW_VERSION_1'
+               WHEN s.s = 'CANCELLED' THEN 'EVENT_AFTER_CANCEL' WHEN s.v IS NOT NULL AND l.event_type = 'NEW' THEN 'NEW_FOR_EXISTING_TRADE'
+               ELSE 'ACCEPTED_HIGHER_VERSION' END AS reason
         FROM step s JOIN line l ON l.trade_id = s.trade_id AND l.n = s.n + 1))""")) + """
-SELECT event_id, trade_id, outcome, count(*) AS n FROM step WHERE n > 0 GROUP BY ALL""")
+SELECT event_id, trade_id, outcome, reason, count(*) AS n FROM step WHERE n > 0 GROUP BY ALL""")
 def sequential_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = lifecycle.classify_in_order(trades.enriched(spark, sf_dir))
-    return decided.groupBy("event_id", "trade_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    """Some event ids are met in several trades."""
+    decided = lifecycle.classify_in_order(_shared_ids(trades.enriched(spark, sf_dir)))
+    return decided.groupBy("event_id", "trade_id", "outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _shared_ids(events: DataFrame) -> DataFrame:
+    shared = F.concat(F.lit("SHARED-"), F.floor(F.col("offset") / 1_000_000).cast("string"))
+    return events.withColumn("event_id", F.when(F.col("k") == 30, shared).otherwise(F.col("event_id")))
 
 
 @query(ORACLES["sequential_lifecycle"])
 def stateful_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold again, as a stateful stream in two micro-batches: what arrived first is in a file of its own."""
+    """The fold again, as a stateful stream in two micro-batches: the messages of smaller offsets are in a file of their own."""
     root = shared_folder(spark, "stateful")
-    rows = trades.enriched(spark, sf_dir).select("event_id", "trade_id", "event_version", "event_type", "payload_hash", "topic", "partition", "offset")
-    late = F.col("offset") % 100_000 > 2
+    rows = _shared_ids(trades.enriched(spark, sf_dir)).select("event_id", "trade_id", "event_version", "event_type", "payload_hash", "topic", "partition", "offset")
+    middle = rows.approxQuantile("offset", [0.5], 0.01)[0]
+    late = F.col("offset") > middle
     own = spark.newSession()  # the state store's provider is a session setting
     for key, value in stateful.STATE_STORE.items():
         own.conf.set(key, value)
@@ -238,7 +291,7 @@ def stateful_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = own.readStream.schema(rows.schema).parquet(f"{root}/in")
         writer = stateful.classify_stream(stream).writeStream.format("parquet").outputMode("append")
         writer.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
-    return spark.read.parquet(f"{root}/out").groupBy("event_id", "trade_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{root}/out").groupBy("event_id", "trade_id", "outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 # state
@@ -276,8 +329,8 @@ SELECT trade_id, CASE WHEN b.trade_id IS NOT NULL AND (a.trade_id IS NULL OR b.e
 FROM cur1 a FULL JOIN cur2 b USING (trade_id)"""))
 def merge_version_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = _batches(spark, sf_dir)
-    ledger = lifecycle.classify(first).persist()
-    now = _current(ledger).persist()
+    ledger = _written(spark, lifecycle.classify(first), "ledger")
+    now = _written(spark, _current(ledger), "current")
     then = _current(lifecycle.classify(second, ledger, now))
     columns = ["trade_id", "current_version", "trade_status", F.col("event_id").alias("first_event_id")]
     return state.upsert_if_newer(now.select(*columns), then.select(*columns), "trade_id", "current_version", kept=("first_event_id",))
@@ -327,8 +380,8 @@ _CHECKED = """SELECT check_name, CAST(s AS DECIMAL(38,6)) AS source_value, CAST(
 @query(oracle.with_(*oracle.ALL, f"pos AS (SELECT {oracle.POSITION_COLUMNS} FROM cur WHERE trade_status = 'BOOKED' GROUP BY portfolio_id, instrument_id), noti AS (SELECT {oracle.NOTIONAL_COLUMNS} FROM cur WHERE trade_status = 'BOOKED' GROUP BY portfolio_id, trade_currency)", select=_CHECKED))
 def reconcile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All eight checks; positions of one share are lost and even counts are off by one, so that two must fail."""
-    decided = _classified(spark, sf_dir).persist()
-    now = _current(decided).persist()
+    decided = _written(spark, _classified(spark, sf_dir), "outcomes")
+    now = _written(spark, _current(decided), "current")
     positions = gold.position_snapshot(gold.booked(now), AS_OF).where("net_quantity <> 1")
     notionals = gold.currency_notional(gold.booked(now), AS_OF).withColumn("active_trade_count", F.col("active_trade_count") + (F.col("active_trade_count") % 2 == 0).cast("long"))
     found = reconcile.checks(trades.messages(spark, sf_dir), decided, now, positions, notionals)
@@ -336,6 +389,40 @@ def reconcile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("check_name", "source_value", "target_value", "difference", "status", wrong.alias("mismatches"))
 
 
+_BROKEN = """SELECT check_name, CAST(s AS DECIMAL(38,6)) AS source_value, CAST(t AS DECIMAL(38,6)) AS target_value, CAST(abs(s - t) AS DECIMAL(38,6)) AS difference,
+  CASE WHEN s = t AND m = 0 THEN 'PASS' ELSE 'FAIL' END AS status, m AS mismatches FROM (
+  SELECT 'bronze_vs_outcome_count' AS check_name, (SELECT count(*) FROM bronze) AS s, (SELECT count(*) FROM kept) AS t, 0 AS m UNION ALL
+  SELECT 'duplicate_bronze_keys', 0, (SELECT count(*) FROM (SELECT "offset" FROM bronze GROUP BY 1 HAVING count(*) > 1)), 0 UNION ALL
+  SELECT 'missing_outcome_keys', 0, (SELECT count(*) FROM bronze b LEFT JOIN (SELECT DISTINCT "offset" FROM kept) o USING ("offset") WHERE o."offset" IS NULL), 0 UNION ALL
+  SELECT 'orphan_outcome_keys', 0, (SELECT count(*) FROM kept o LEFT JOIN (SELECT DISTINCT "offset" FROM bronze) b USING ("offset") WHERE b."offset" IS NULL), 0 UNION ALL
+  SELECT 'duplicate_outcome_keys', 0, (SELECT count(*) FROM (SELECT "offset" FROM kept GROUP BY 1 HAVING count(*) > 1)), 0 UNION ALL
+  SELECT 'highest_version_current_state', (SELECT count(*) FROM due), (SELECT count(*) FROM held),
+    (SELECT count(*) FROM due FULL JOIN held ON due.trade_id = held.trade_id
+     WHERE due.trade_id IS NULL OR held.trade_id IS NULL OR due.v <> held.v OR due.s <> held.s OR due.h <> held.h))"""
+
+
+@query(oracle.with_(*oracle.ALL, """
+bronze AS MATERIALIZED (SELECT "offset" FROM msg UNION ALL SELECT "offset" FROM msg WHERE k = 30),
+kept AS MATERIALIZED (
+  SELECT * FROM cls WHERE k <> 31 UNION ALL SELECT * FROM cls WHERE k = 32 UNION ALL SELECT * REPLACE ("offset" + 50000 AS "offset") FROM cls WHERE k = 33)""",
+  oracle.current("kept", "wanted"), """
+due AS (SELECT trade_id, event_version AS v, trade_status AS s, payload_hash AS h FROM wanted),
+held AS (SELECT trade_id, event_version AS v, CASE WHEN event_version % 3 = 0 THEN 'CANCELLED' ELSE trade_status END AS s, payload_hash AS h FROM cur WHERE k <> 35)""", select=_BROKEN))
+def reconcile_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first six checks over layers with repeated, missing and orphan keys and a wrong state: each must count what is off."""
+    decided = _written(spark, _classified(spark, sf_dir), "outcomes")
+    messages, k = trades.messages(spark, sf_dir), F.col("k")
+    bronze = messages.unionByName(messages.where(k == 30))
+    kept = decided.where(k != 31).unionByName(decided.where(k == 32)).unionByName(decided.where(k == 33).withColumn("offset", F.col("offset") + 50_000))
+    wrong = F.when(F.col("current_version") % 3 == 0, "CANCELLED").otherwise(F.col("trade_status"))
+    now = _current(decided).where(k != 35).withColumn("trade_status", wrong)
+    trades_now = gold.booked(now)
+    found = reconcile.checks(bronze, kept, now, gold.position_snapshot(trades_now, AS_OF), gold.currency_notional(trades_now, AS_OF))
+    found = found.where(~F.col("check_name").contains("matches_current"))
+    wrong = F.coalesce(F.get_json_object("details", "$.mismatch_count").cast("long"), F.lit(0).cast("long"))
+    return found.select("check_name", "source_value", "target_value", "difference", "status", wrong.alias("mismatches"))
+
+
 # reference data
 
 
@@ -393,9 +480,9 @@ def late_delivery_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def generated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated run over the test dimensions; tests hold its scenario counts."""
+    """A generated run over the test dimensions, with as many trades as there are orders; tests hold its scenario counts."""
     names = trades.instruments(spark, sf_dir).select("instrument_id", "quote_currency")
-    events, _ = generator.generate(spark, generator.Config(num_trades=2000), names, trades.portfolios(spark, sf_dir).select("portfolio_id"))
+    events, _ = generator.generate(spark, generator.Config(num_trades=table(spark, sf_dir, "orders").count()), names, trades.portfolios(spark, sf_dir).select("portfolio_id"))
     return events
 
 

@@ -1,4 +1,4 @@
-"""Trade events, dimensions and rates derived from the test tables, with every scenario of the classifier in them.
+"""Trade events, dimensions and rates derived from the test tables; ``scenario_*`` add what sound sources don't have.
 
 Only the derivation of input is here. A trade is an order, its events are the order's lines by ship date; a selector
 ``k`` in 0..99 of each line decides what befalls it (conflicts, late delivery, re-delivery, bad values, unknown keys).
@@ -74,6 +74,23 @@ def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier.select(F.concat(F.lit("PORT-"), F.col("s_suppkey")).alias("portfolio_id"), (F.col("s_acctbal") > -900).alias("active_flag"))
 
 
+def scenario_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with unreadable and incomplete ones among them, and payloads that come again under another event id."""
+    rows = messages(spark, sf_dir)
+    k = F.col("k")
+    again = rows.where(k == 21).withColumns({"event_id": F.concat("event_id", F.lit("-R")), "offset": F.col("offset") + 30_000})
+    lost = {name: F.when(k != 22, F.col(name)) for name in ("portfolio_id", "instrument_id", "side", "quantity", "price", "trade_currency")}
+    lost |= {name: F.when(~k.isin(22, other), F.col(name)) for name, other in (("event_id", 23), ("trade_id", 24), ("event_ts", 27), ("event_ms", 27), ("trade_date", 27))}
+    lost |= {"event_version": F.when(k == 25, 0).when(k != 22, F.col("event_version")), "event_type": F.when(k == 26, "BUST").when(k != 22, F.col("event_type"))}
+    return rows.withColumns(lost | {"parse_failed": k == 22}).unionByName(again)
+
+
+def scenario_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenario messages joined, ruled and measured; every tenth portfolio is inactive."""
+    books = table(spark, sf_dir, "supplier").select(F.concat(F.lit("PORT-"), F.col("s_suppkey")).alias("portfolio_id"), (F.col("s_suppkey") % 10 != 0).alias("active_flag"))
+    return derive(apply_rules(join_dimensions(scenario_messages(spark, sf_dir), instruments(spark, sf_dir), books, rates(spark, sf_dir))))
+
+
 def rate_days(spark: SparkSession, sf_dir: str) -> tuple[Column, Column]:
     """First and last day of the shipped lines (two values)."""
     low, high = table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date")).first()

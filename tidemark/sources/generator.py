@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.trade import cycled
+from ..session import shared_folder
 
 OPEN_HOUR = 14
 
@@ -58,24 +59,25 @@ def _uuid(seed: int, tag: str, *columns: Column) -> Column:
 
 
 def _sampled(frame: DataFrame, by: Column, count: int) -> DataFrame:
-    """``count`` rows, those with the smallest draws."""
-    return frame.withColumn("__d", by).orderBy("__d", "event_id").limit(count).drop("__d")
+    """``count`` rows, those with the smallest draws: ranked inside ranges of draws, so that no task sees all of them."""
+    placed = dense_offsets(frame.withColumn("__d", by), ["__d", "event_id"], "__place")
+    return placed.where(F.col("__place") < count).drop("__d", "__place")
 
 
 def generate(spark: SparkSession, config: Config, instruments: DataFrame, portfolios: DataFrame) -> tuple[DataFrame, dict]:
     """Events in publishing order (``replay_offset`` from 0), and run metadata.
 
-    ``instruments``: ``instrument_id`` and, if it has one, ``quote_currency``; ``portfolios``: ``portfolio_id``. Both are small.
+    ``instruments``: ``instrument_id`` and, if it has one, ``quote_currency``; ``portfolios``: ``portfolio_id``.
     """
     seed = config.seed
     base = int(datetime.fromisoformat(config.event_date).replace(hour=OPEN_HOUR, tzinfo=UTC).timestamp() * 1000)
     i = F.col("id")
 
     def numbered(frame: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
-        rows = [tuple(row) for row in frame.orderBy(key).collect()]  # reference lists: tens to thousands of rows
-        if not rows:
+        count = frame.count()
+        if not count:
             raise ValueError(f"no {name}")
-        return spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], f"{name} long, " + ", ".join(f"{c} {t}" for c, t in frame.dtypes)), len(rows)
+        return dense_offsets(frame, [key], name), count
 
     if "quote_currency" not in instruments.columns:
         instruments = instruments.withColumn("quote_currency", F.lit(None).cast("string"))
@@ -84,7 +86,7 @@ def generate(spark: SparkSession, config: Config, instruments: DataFrame, portfo
     u = draw(seed, "currency", i)
     fallback = F.when(u < 0.70, "CAD").when(u < 0.90, "USD").when(u < 0.96, "EUR").otherwise("GBP")
     trades = spark.range(config.num_trades).withColumns({"instruments": pick(seed, "instrument", n_names, i), "portfolios": pick(seed, "portfolio", n_books, i)})
-    trades = trades.join(F.broadcast(names), "instruments").join(F.broadcast(books), "portfolios")
+    trades = trades.join(names, "instruments").join(books, "portfolios")
     amended = draw(seed, "amend", i) < config.amend_rate
     twice = amended & (draw(seed, "amend again", i) < config.multiple_amend_rate)
     cancelled = draw(seed, "cancel", i) < config.cancel_rate
@@ -137,8 +139,8 @@ def generate(spark: SparkSession, config: Config, instruments: DataFrame, portfo
     last = F.max("event_version").over(Window.partitionBy("trade_id"))
     copies = copies.withColumn("late_candidate", (F.col("event_type") == "AMEND") & (F.col("event_version") < last))
     late_key = (key, F.col("copy"))
-    late = copies.where("late_candidate").withColumn("__d", draw(seed, "late", *late_key)).orderBy("__d", "event_id", "copy")
-    late = late.limit(round((total + round(total * config.duplicate_rate)) * config.late_event_rate)).select("event_id", "copy", F.lit(True).alias("late"))
+    late = dense_offsets(copies.where("late_candidate").withColumn("__d", draw(seed, "late", *late_key)), ["__d", "event_id", "copy"], "__place")
+    late = late.where(F.col("__place") < round((total + round(total * config.duplicate_rate)) * config.late_event_rate)).select("event_id", "copy", F.lit(True).alias("late"))
     copies = copies.join(late, ["event_id", "copy"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
     # On-time events by time, then late ones in a drawn order.
     order = [F.col("late"), F.when(F.col("late"), draw(seed, "shuffle", *late_key)), "event_ts", "trade_id", "event_id", "copy"]
@@ -159,19 +161,24 @@ def generate(spark: SparkSession, config: Config, instruments: DataFrame, portfo
     return published.select(*names_out), metadata
 
 
-def dense_offsets(frame: DataFrame, order: list) -> DataFrame:
-    """``replay_offset``: 0, 1, 2, ... in a global order, without bringing all rows to one task.
+def dense_offsets(frame: DataFrame, order: list, name: str = "replay_offset") -> DataFrame:
+    """``name``: 0, 1, 2, ... in a global order, without bringing all rows to one task.
 
-    Rows are range-partitioned and sorted; each partition's count, a few numbers in all, tells where it begins.
+    Rows are range-partitioned, sorted and written to the shared folder with their places in their partitions, so that a lost
+    executor can't move them; each partition's count, a few numbers in all, tells where it begins.
     """
+    spark = frame.sparkSession
     names = [f"__o{k}" for k in range(len(order))]
-    keyed = frame.withColumns({name: F.col(c) if isinstance(c, str) else c for name, c in zip(names, order, strict=True)})
-    placed = keyed.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("__part", F.spark_partition_id())
-    placed = placed.withColumn("__in", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)).persist()
+    keyed = frame.withColumns({o: F.col(c) if isinstance(c, str) else c for o, c in zip(names, order, strict=True)})
+    placed = keyed.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names).withColumn("__part", F.spark_partition_id())
+    placed = placed.withColumn("__in", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
+    path = shared_folder(spark, "offsets")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    return placed.join(F.broadcast(starts), "__part").withColumn("replay_offset", F.col("__start") + F.col("__in")).drop("__part", "__in", "__start", *names)
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__in")).drop("__part", "__in", "__start")
 
 
 def write_replay(events: DataFrame, path: str, metadata: dict | None = None) -> None:

@@ -1,4 +1,4 @@
-"""The sequential classifier as a stateful streaming operator: one trade's state and seen ids live in Spark's state store.
+"""The sequential classifier as two stateful streaming operators: the ids that were met, and each trade's state, in Spark's state store.
 
 Unlike the set-based batches it gives the same outcomes wherever micro-batches end, as long as a trade's messages arrive
 in order. Needs the RocksDB provider (``STATE_STORE``).
@@ -13,39 +13,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..model import MESSAGE_KEY
-from ..operators.lifecycle import SEQUENTIAL, fold_events
+from ..operators.lifecycle import SEQUENTIAL, step
 
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-class _Seen:
-    """The set that the fold asks for, kept in a state map."""
+_NEEDED = ["event_id", "trade_id", "event_version", "event_type", "payload_hash", *MESSAGE_KEY]
+_MARKED = "event_id string, trade_id string, event_version int, event_type string, payload_hash string, topic string, partition int, offset long, known boolean"
 
-    def __init__(self, ids) -> None:
-        self.ids = ids
 
-    def __contains__(self, event_id: str) -> bool:
-        return self.ids.containsKey((event_id,))
+class IdProcessor(StatefulProcessor):
+    """Rows of one event id, the first of them (in any batch) unmarked, the others marked as known."""
 
-    def add(self, event_id: str) -> None:
-        self.ids.updateValue((event_id,), (True,))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.met = handle.getValueState("met", "met boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        same = pd.concat(list(rows)).sort_values(list(MESSAGE_KEY), kind="stable")
+        known = [True] * len(same)
+        known[0] = self.met.exists()
+        self.met.update((True,))
+        yield same.assign(known=known)
+
+    def close(self) -> None:
+        pass
 
 
 class TradeProcessor(StatefulProcessor):
+    """Folds the rows of one trade."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "version int, status string, payload string")
-        self.ids = handle.getMapState("ids", "event_id string", "seen boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         trade = pd.concat(list(rows)).sort_values(list(MESSAGE_KEY), kind="stable")
         state = tuple(self.state.get()) if self.state.exists() else None
-        events = zip(trade["event_id"], (int(v) for v in trade["event_version"]), trade["event_type"], trade["payload_hash"], strict=True)
-        out = trade[["event_id", "trade_id", "event_version"]].copy()
         decided = []
-        for outcome, reason, state in fold_events(events, state, _Seen(self.ids)):
+        for version, kind, digest, known in zip(trade["event_version"], trade["event_type"], trade["payload_hash"], trade["known"], strict=True):
+            outcome, reason, state = step((int(version), kind, digest), state, bool(known))
             decided.append((outcome, reason))
         if state is not None:
             self.state.update((int(state[0]), str(state[1]), state[2]))
+        out = trade[["event_id", "trade_id", "event_version"]].copy()
         out["outcome"], out["reason"] = zip(*decided, strict=True)
         yield out
 
@@ -54,7 +63,6 @@ class TradeProcessor(StatefulProcessor):
 
 
 def classify_stream(events: DataFrame) -> DataFrame:
-    """Outcomes of a stream of enriched events, in order of arrival per trade."""
-    needed = ["event_id", "trade_id", "event_version", "event_type", "payload_hash", *MESSAGE_KEY]
-    grouped = events.select(*needed).groupBy("trade_id")
-    return grouped.transformWithStateInPandas(TradeProcessor(), SEQUENTIAL, "Append", "None")
+    """Outcomes of a stream of enriched events that have an id, a trade and a version, in order of arrival per trade."""
+    marked = events.select(*_NEEDED).groupBy("event_id").transformWithStateInPandas(IdProcessor(), _MARKED, "Append", "None")
+    return marked.groupBy("trade_id").transformWithStateInPandas(TradeProcessor(), SEQUENTIAL, "Append", "None")
