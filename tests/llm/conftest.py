@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 LONG = "word " * 30_000
 
@@ -21,7 +22,9 @@ def odd(spark):
         (7, "Éa b \U0001f600 c", "de", "a", 5, "x", 1),
         (8, " \t\n ", "de", "a", 5, "x", 1),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string, kept int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string, kept int")
+    clashing = ("removed", "mix_tokens", "mix_topic", "mix_probability", "component_id", "score", "code", "split", "range", "start", "end", "n", "name", "base", "spans")
+    return frame.select("*", *(F.lit("x").alias(name) for name in clashing))
 
 
 @pytest.fixture(scope="session")

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A session without that setting (tests, a laptop) gets a fresh local one, which is right only because
-    its executors live in the same machine.
+    A session without that setting gets a fresh local one if its executors live in the same machine (tests, a laptop), else an error.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     if not context.getCheckpointDir():

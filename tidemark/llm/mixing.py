@@ -14,12 +14,14 @@ tokens to the power ``temper``, which lifts small sources. All targets add up to
 no value's target is above the tokens that it has.
 
 Defined cases: nulls in a dimension are a value of their own (``""``); an empty text has no tokens and is sampled
-like its cell; a cell without tokens keeps ``token_share``; a null id is hashed as such; repeated rows share one
-decision; an empty table gives an empty sample; other columns are kept as they are.
+like its cell; a cell without tokens keeps ``token_share``; rows without an id draw by their text; repeated rows share one
+decision; an empty table gives an empty sample; other columns are kept as they are, but for ones named ``mix_topic``,
+``mix_tokens`` or ``mix_probability``, which are replaced. Raking that is still moving after ``ROUNDS`` rounds gives a warning.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -134,6 +136,8 @@ def rake(
         moved = state.agg(F.sum(F.col("tokens") * F.abs(F.col("probability") - F.col("before")))).first()[0] / total
         if moved <= tolerance:
             break  # targets met, or held back by full cells only
+    else:
+        warnings.warn(f"raking still moved {moved:.2%} of all tokens in round {rounds}", stacklevel=2)
     return state.select(*names, "tokens", F.when(F.col("tokens") > 0, F.col("probability")).otherwise(F.lit(float(token_share))).alias("probability"))
 
 
@@ -155,7 +159,9 @@ def mix(
     cells = cells_of(df, dimensions, token_count(text))
     raked = rake(cells, [targets.get(name) for name in dimensions], token_share, temper)
     keys = {f"__mix_d{k}": F.coalesce(column.cast("string"), F.lit("")) for k, column in enumerate(dimensions.values())}
-    chances = raked.select(*(F.col(f"d{k}").alias(f"__mix_d{k}") for k in range(len(keys))), F.col("probability").alias("mix_probability"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(1 << 53))
-    joined = df.withColumns(keys).join(chances, list(keys)).where(draw < F.col("mix_probability"))
-    return joined.select(*df.columns, F.col("__mix_d2").alias("mix_topic"), token_count(text).alias("mix_tokens"), "mix_probability")
+    chances = raked.select(*(F.col(f"d{k}").alias(f"__mix_d{k}") for k in range(len(keys))), F.col("probability").alias("__mix_probability"))
+    seen = F.when(F.col(id_col).isNull(), F.xxhash64(text, *(F.col(name) for name in ("source", "lang"))))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), seen), 11) / F.lit(float(1 << 53))
+    joined = df.withColumns(keys).join(chances, list(keys)).where(draw < F.col("__mix_probability"))
+    own = [name for name in df.columns if name not in ("mix_topic", "mix_tokens", "mix_probability")]
+    return joined.select(*own, F.col("__mix_d2").alias("mix_topic"), token_count(text).alias("mix_tokens"), F.col("__mix_probability").alias("mix_probability"))

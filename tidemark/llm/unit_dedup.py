@@ -16,7 +16,7 @@ to the units by equality, so no task gathers a group. The offsets of what went a
 
 Defined cases: a null text stays null, an empty one empty; rows with equal id and text are one document (both
 keep the same); null ids rank last; ties can't be, as offsets differ; an empty table gives an empty result; other
-columns are ignored, or kept as they are by ``remove_repeats``.
+columns are ignored, or kept as they are by ``remove_repeats``, but for one named ``removed``, which is replaced.
 """
 
 from __future__ import annotations
@@ -99,9 +99,10 @@ def remove_repeats(
     cut = F.struct("start", "end", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"))
     cuts = repeated_units(found).distinct().groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(cut)).alias("removed"))
     keyed = df.withColumns(dict(zip(("__unit_doc", "__unit_hash"), _keys(id_col, text_col), strict=True)))
-    cuts = cuts.select(F.col("doc").alias("__unit_doc"), F.col("text_hash").alias("__unit_hash"), "removed")
-    joined = keyed.join(cuts, ["__unit_doc", "__unit_hash"], "left").select(*df.columns, "removed")
-    at = df.columns.index(text_col)
+    cuts = cuts.select(F.col("doc").alias("__unit_doc"), F.col("text_hash").alias("__unit_hash"), F.col("removed").alias("__unit_cuts"))
+    own = [name for name in df.columns if name != "removed"]
+    joined = keyed.join(cuts, ["__unit_doc", "__unit_hash"], "left").select(*own, F.col("__unit_cuts").alias("removed"))
+    at = own.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
