@@ -1,7 +1,13 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of documents. ``run``
-writes each stage's table as Parquet in the shared folder and reads it again for the next.
+writes each stage's table as Parquet in the shared folder, reads it again for the next, and deletes it when that is written.
+
+Defined cases. Null and empty texts, and texts of fewer than 50 words, fail the quality rules and go. Given to a later stage, they
+are one near-duplicate group by their fingerprint, hold no personal data, are sampled like their cell, and are packed as an
+end token. Of rows that repeat an id one stays after the second stage; rows without an id stay, draw by their text, and are packed like
+any other. Equal texts are one group, of which the smallest id stays. An empty table gives empty tables. Other columns are kept
+as they are by all stages but the last; names that an operator uses within do not clash.
 """
 
 from __future__ import annotations
@@ -11,13 +17,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, packing, perplexity, pii, simhash
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import discard, materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; models and bands are fitted on all documents given."""
+    """Documents that the rules keep; models and bands are fitted on all documents given, without labels."""
     return perplexity.keep_documents(perplexity.fit_rules(docs))
 
 
@@ -54,9 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 
