@@ -56,7 +56,9 @@ def test_larger_samples_hold_smaller_ones(documents):
 
 def test_odd_rows(odd, none):
     kept = mixing.mix(odd)
-    assert kept.columns == [*odd.columns, "mix_topic", "mix_tokens", "mix_probability"]
+    added = ["mix_topic", "mix_tokens", "mix_probability"]
+    assert kept.columns == [*(c for c in odd.columns if c not in added), *added]
+    assert mixing.mix(odd, describe=False).schema == odd.schema
     assert kept.count() <= odd.count()
     everything = mixing.mix(odd, token_share=1.0)
     assert everything.count() == odd.count()

@@ -16,7 +16,7 @@ no value's target is above the tokens that it has.
 Defined cases: nulls in a dimension are a value of their own (``""``); an empty text has no tokens and is sampled
 like its cell; a cell without tokens keeps ``token_share``; rows without an id draw by their text; repeated rows share one
 decision; an empty table gives an empty sample; other columns are kept as they are, but for ones named ``mix_topic``,
-``mix_tokens`` or ``mix_probability``, which are replaced. Raking that is still moving after ``ROUNDS`` rounds gives a warning.
+``mix_tokens`` or ``mix_probability``, which ``describe`` replaces. Raking that is still moving after ``ROUNDS`` rounds gives a warning.
 """
 
 from __future__ import annotations
@@ -150,8 +150,9 @@ def mix(
     token_share: float = TOKEN_SHARE,
     temper: float = TEMPER,
     seed: int = SEED,
+    describe: bool = True,
 ) -> DataFrame:
-    """The sampled rows of ``df`` with ``mix_topic``, ``mix_tokens`` and ``mix_probability`` behind their own columns."""
+    """The sampled rows of ``df``; ``describe``: with ``mix_topic``, ``mix_tokens`` and ``mix_probability`` behind their own columns."""
     targets = targets or {}
     text = F.col(text_col)
     topic = form_topic(text) if topic is None else topic
@@ -163,5 +164,7 @@ def mix(
     seen = F.when(F.col(id_col).isNull(), F.xxhash64(text, *(F.col(name) for name in ("source", "lang"))))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), seen), 11) / F.lit(float(1 << 53))
     joined = df.withColumns(keys).join(chances, list(keys)).where(draw < F.col("__mix_probability"))
+    if not describe:
+        return joined.select(df.columns)
     own = [name for name in df.columns if name not in ("mix_topic", "mix_tokens", "mix_probability")]
     return joined.select(*own, F.col("__mix_d2").alias("mix_topic"), token_count(text).alias("mix_tokens"), F.col("__mix_probability").alias("mix_probability"))
