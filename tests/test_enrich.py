@@ -5,9 +5,11 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from tidemark.functions import avro
 from tidemark.functions.trade import notional, payload_hash, signed_quantity
-from tidemark.model import FX_RATES, INSTRUMENTS, PAYLOAD_FIELDS, PORTFOLIOS, EventType, Side, BookingEvent
+from tidemark.model import FX_RATES, INSTRUMENTS, PAYLOAD_FIELDS, PORTFOLIOS, BookingEvent, EventType, Side
 from tidemark.operators import enrich
 
 EVENT = {
