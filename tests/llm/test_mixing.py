@@ -48,6 +48,60 @@ def test_the_sample_meets_its_marginals(spark, sf_dir):
     assert rows.exceptAll(again).count() == 0 == again.exceptAll(rows).count()
 
 
+def proportional_targets(have, wanted, temper):
+    """``min(have, scale * have ** temper)`` that add up to ``wanted``, by halving."""
+    low, high = 0.0, max(have.values()) * 2
+    for _ in range(200):
+        scale = (low + high) / 2
+        reached = sum(min(v, scale * v**temper) for v in have.values())
+        low, high = (scale, high) if reached < wanted else (low, scale)
+    return {k: min(v, high * v**temper) for k, v in have.items()}
+
+
+def test_the_query_equals_plain_loops(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", F.lit(None).cast("long")), 11) / F.lit(float(1 << 53))
+    cell_of, tokens_of, draw_of = {}, {}, {}
+    for r in documents.withColumns({"topic": mixing.form_topic(F.col("text")), "draw": draw}).collect():
+        cell_of[r["doc_id"]] = (r["source"] or "", r["lang"] or "", r["topic"])
+        tokens_of[r["doc_id"]] = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        draw_of[r["doc_id"]] = r["draw"]
+    cells: dict = {}
+    for i, cell in cell_of.items():
+        cells[cell] = cells.get(cell, 0) + tokens_of[i]
+    cells = {cell: n for cell, n in cells.items() if n}
+    wanted, targets = sum(cells.values()) * mixing.TOKEN_SHARE, []
+    for k in range(3):
+        have: dict = {}
+        for cell, n in cells.items():
+            have[cell[k]] = have.get(cell[k], 0) + n
+        targets.append(proportional_targets(have, wanted, mixing.TEMPER))
+    plain = raked(cells, targets, mixing.TOKEN_SHARE, rounds=mixing.ROUNDS)
+    found = {r["doc_id"]: r for r in op3_source_mixing(spark, sf_dir).collect()}
+    slack = 0.01  # the scale is narrowed on a grid, and rounds end at a tolerance
+    for i, cell in cell_of.items():
+        chance = plain.get(cell, mixing.TOKEN_SHARE)
+        if i in found:
+            assert found[i]["mix_probability"] == pytest.approx(chance, abs=slack) and found[i]["mix_tokens"] == tokens_of[i]
+        if abs(draw_of[i] - chance) > slack:
+            assert (i in found) == (draw_of[i] < chance)
+
+
+def test_cells_in_one_task_and_dealt_give_the_same(spark, monkeypatch):
+    rows = [(f"s{k % 7}", f"l{k % 3}", f"t{k % 5}", 10 + k * k % 97) for k in range(105)]
+    frame = spark.createDataFrame(rows, "d0 string, d1 string, d2 string, tokens long")
+
+    def probabilities():
+        made = mixing.rake(frame, [None, None, {"t0": 2.0, "t1": 1.0, "t2": 1.0}], token_share=0.5)
+        return {tuple(r)[:3]: r["probability"] for r in made.collect()}, made
+
+    one, frame_of_one = probabilities()
+    assert "hashpartitioning" not in frame_of_one._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mixing, "CELLS_IN_ONE_TASK", 0)
+    dealt, _ = probabilities()
+    assert one == pytest.approx(dealt, abs=1e-9) and len(one) == 105
+
+
 def test_larger_samples_hold_smaller_ones(documents):
     few = {r["doc_id"] for r in mixing.mix(documents, token_share=0.3).collect()}
     many = {r["doc_id"] for r in mixing.mix(documents, token_share=0.8).collect()}

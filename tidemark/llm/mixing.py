@@ -5,7 +5,8 @@
 2. Iterative proportional fitting: for each dimension in turn the cells' sampling probabilities are scaled so that
    the tokens expected of each value meet its target. A probability never leaves [0, 1], as nothing is drawn twice;
    what a full cell can't give, the other cells of its row make up in the next round. A step is a window sum over the
-   cells; after every few rounds they are written to a table.
+   cells; after every few rounds they are written to a table. Up to ``CELLS_IN_ONE_TASK`` cells lie in one partition, which
+   serves every window as it is; that changes the plan, not the sums.
 3. A document stays if a hash of its id and the seed, read as a number in [0, 1), lies below its cell's probability. So
    the sample is the same for any partitioning, and a larger target keeps what a smaller one kept.
 
@@ -35,6 +36,7 @@ TEMPER = 0.7
 ROUNDS = 50
 TOLERANCE = 0.0002  # share of all tokens that a last round may still move
 ROUNDS_PER_TABLE = 5
+CELLS_IN_ONE_TASK = 20_000  # so many cells are raked in one task, without exchanges; more are dealt by value for each sum
 GRID, GRID_ROUNDS = 32, 4
 SEED = 20240229
 DIMENSIONS = ("source", "lang", "topic")
@@ -118,13 +120,16 @@ def rake(
     """``cells`` with ``probability``. A few sums per round reach the driver."""
     names = [f"d{k}" for k in range(len(targets))]
     state = materialise(cells.withColumn("probability", F.lit(float(token_share))), "raking")
-    total = float(state.agg(F.sum("tokens")).first()[0] or 0)
+    total, count = state.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     if not total:
         return state
+    total = float(total)
+    placed = (lambda frame: frame.coalesce(1)) if count <= CELLS_IN_ONE_TASK else (lambda frame: frame)
     wanted = _targets(state, names, targets, total * token_share, temper)
     for name in names:
         target = wanted.where(F.col("dim") == name).select(F.col("value").alias(name), F.col("target").alias(f"target_{name}"))
         state = state.join(target, name)
+    state = placed(state)
     for _ in range(0, rounds, ROUNDS_PER_TABLE):
         for _ in range(ROUNDS_PER_TABLE):
             state = state.withColumn("before", F.col("probability"))
@@ -132,7 +137,7 @@ def rake(
                 have = F.sum(F.col("tokens") * F.col("probability")).over(Window.partitionBy(name))
                 scaled = F.least(F.lit(1.0), F.col("probability") * F.col(f"target_{name}") / have)
                 state = state.withColumn("probability", F.when(have > 0, scaled).otherwise(F.col("probability")))
-        state = materialise(state, "raking")
+        state = placed(materialise(state, "raking"))
         moved = state.agg(F.sum(F.col("tokens") * F.abs(F.col("probability") - F.col("before")))).first()[0] / total
         if moved <= tolerance:
             break  # targets met, or held back by full cells only
