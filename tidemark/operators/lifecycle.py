@@ -40,13 +40,19 @@ EVIDENCE = ("event_id_seen", "event_id_rank", "payload_rank", "conflict", "prior
 
 
 def classify(
-    batch: DataFrame, ledger: DataFrame | None = None, current: DataFrame | None = None, strict: bool = False, evidence: tuple[str, ...] = ()
+    batch: DataFrame,
+    ledger: DataFrame | None = None,
+    current: DataFrame | None = None,
+    strict: bool = False,
+    evidence: tuple[str, ...] = (),
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """``batch`` with ``outcome`` and ``outcome_reason``. ``strict``: a cancel that is stale itself doesn't end a trade.
 
-    ``ledger``: outcomes of earlier batches; ``current``: the state they led to; ``evidence``: columns of ``EVIDENCE`` to return.
+    ``ledger``: outcomes of earlier batches; ``current``: the state they led to; ``evidence``: columns of ``EVIDENCE`` to return;
+    ``keys``: the part of the ledger whose message keys can be in the batch, if that is known.
     """
-    rows = unseen(batch, ledger)
+    rows = unseen(batch, ledger if keys is None else keys)
     if ledger is None:
         rows = rows.withColumn("event_id_seen", F.lit(False))
     else:
