@@ -89,6 +89,43 @@ def test_context_reaches_over_earlier_numbers(spark, text, expected):
     assert pii.mask(frame).first()["text"].count("[SSN]") == expected
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("see DE89 3704 0044 0532 0130 00 Please", [("DE89 3704 0044 0532 0130 00", 0.6)]),  # a capital after it is no part of it
+        ("DE89 3704 0044 0532 0130 00 GB29NWBK60161331926819", [("DE89 3704 0044 0532 0130 00", 0.6), ("GB29NWBK60161331926819", 0.6)]),
+        ("our bank: DE89370400440532013000", [("DE89370400440532013000", 0.9)]),
+        ("DE89370400440532013000 is our account", [("DE89370400440532013000", 0.9)]),
+        ("DE8937040044053201300", []),  # one character short
+        ("code ZZ02ABCDEFGHIJK", []),  # no such country, no context
+        ("iban ZZ02ABCDEFGHIJK", None),
+        ("123-45-6789 (SSN)", [("123-45-6789", 0.7)]),
+        ("123-45-6789 is a social number; " + "x " * 30 + "234-56-7890", [("123-45-6789", 0.7)]),
+        ("part 123-45-6789, ssn follows", []),  # another clause
+        ("part 123-45-6789 9 ssn", []),  # another number
+        ("123-45-6789 " + "x " * 23 + "taxonomy", []),
+        ("123-45-6789" + "y" * 60, []),
+        ("ssn 123-45-6789 / 234-56-7890", [("123-45-6789", 0.7), ("234-56-7890", 0.7)]),
+    ],
+)
+def test_scores(spark, text, expected):
+    if expected is None:  # the check digits that make the made-up number right
+        head, body = text.split("ZZ02")
+        number = next(f"ZZ{n:02}{body}" for n in range(2, 99) if int("".join(str(int(c, 36)) for c in body + "ZZ") + f"{n:02}") % 97 == 1)
+        plain = spark.createDataFrame([(1, f"code {number}"), (2, head + number), (3, f"{number} (iban)")], "doc_id long, text string")
+        found = {r["doc_id"]: [round(s["score"], 6) for s in r["spans"]] for r in pii.find_spans(plain).collect()}
+        assert found == {1: [], 2: [0.6], 3: [0.6]}
+        return
+    row = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(text[s["start"] : s["end"]], round(s["score"], 6)) for s in row["spans"]] == expected
+
+
+def test_a_long_list_of_numbers_is_linear(spark):
+    text = "ssn " + ", ".join(["123-45-6789"] * 3000) + " GB29 NWBK 6016 1331 9268 19" * 300
+    row = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [s["kind"] for s in row["spans"]] == ["ssn"] * 3000 + ["iban"] * 300
+
+
 def test_masking(spark, odd):
     frame = spark.createDataFrame([(1, "mail a@b.co or +1 (555) 123-4567!", 7), (2, "none", 8), (3, None, 9)], "doc_id long, text string, base int")
     masked = pii.mask(frame)

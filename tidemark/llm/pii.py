@@ -7,13 +7,16 @@ that can't profit from giving back are possessive, and a match only begins where
 
 Base kinds are exact (no score): email, ip, card (Luhn), phone. Added kinds need a score of ``THRESHOLD`` or more:
 
-* iban: two letters, two digits, 11 to 30 more characters in groups, whose rest modulo 97 is 1. Score 0.6, and
-  0.3 more for a context word within ``CONTEXT_CHARS`` characters before it.
+* iban: two letters, two digits, more characters in groups, whose rest modulo 97 is 1. A country of ``IBAN_LENGTHS`` takes
+  exactly its length and scores 0.6, another one 11 to 30 more characters and 0.3; a context word adds 0.3. So it takes
+  context where the country is not registered.
 * ssn: three, two and four digits with hyphens, no part of a longer number, area neither 000, 666 nor from 900,
   no part all zeros. Score 0.3, and 0.4 more for a context word. So it takes context.
-* The characters before a span are those of the text, whatever matches lie in them. A span that follows an accepted one
-  of its kind with at most ``CONTEXT_CHARS`` characters between, no letter or digit among them, goes on a list: it is
-  accepted like the one before it, so a list may be longer than the context.
+* Context is the ``CONTEXT_CHARS`` characters before a span, whatever matches lie in them, and as many whole words after it as
+  follow in the same clause before any digit. A span that follows an accepted one of its kind with at most
+  ``CONTEXT_CHARS`` characters between, no letter or digit among them, goes on a list: it scores at least what the one
+  before it scored, so a list may be longer than the context.
+* Base spans have score 1.
 * A span of an added kind that touches a base span is left out.
 
 Defined cases: a null or empty text has no spans and the digest of the empty string; null ids and repeated rows come out
@@ -30,21 +33,49 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 CONTEXT_CHARS = 48
 
+# Registered countries of account numbers and the length of their numbers (ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+_REGISTERED = f"(?:{'|'.join(IBAN_LENGTHS)})"
+
+
+def _iban_pattern() -> str:
+    """A registered country with its length (so a capital or a number after it is not taken in), or another country."""
+    by_length: dict[int, list[str]] = {}
+    for country, length in IBAN_LENGTHS.items():
+        by_length.setdefault(length, []).append(country)
+    known = "|".join(f"(?:{'|'.join(names)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, names in sorted(by_length.items()))
+    other = rf"(?!{_REGISTERED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|{other})(?![A-Za-z0-9])"
+
+
 # A match of the first two may also begin where the one before it ended (\G).
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn")
+# Score without context, what a context word adds, context words.
 CONTEXT = {
-    "iban": (0.6, 0.3, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta|transfer|bic|swift)\b"),
+    "iban": (0.3, 0.3, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta|transfer|bic|swift)\b"),
     "ssn": (0.3, 0.4, r"(?i)\b(?:ssn|social|security|taxpayer|tax)\b"),
 }
+REGISTERED_SCORE = 0.6
+# What follows a match, to the end of a word, clause or digit-free stretch; always there, if need be empty.
+_AFTER = rf"(?=((?:[^,;.!?\n0-9]{{0,{CONTEXT_CHARS}}}(?![\p{{L}}\p{{N}}]))?))"
 _LIST_GAP = rf"^[^\p{{L}}\p{{N}}]{{0,{CONTEXT_CHARS}}}$"
 # What a text must contain for the pattern to be tried at all.
 _NEEDS: dict[str, Callable[[Column], Column]] = {
@@ -89,38 +120,47 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, before: Column) -> Column:
+def _score(kind: str, match: Column, before: Column, after: Column) -> Column:
     base, bonus, words = CONTEXT[kind]
-    return F.lit(base) + F.when(F.right(before, F.lit(CONTEXT_CHARS)).rlike(words), bonus).otherwise(0.0)
+    alone = F.lit(base)
+    if kind == "iban":
+        alone = F.when(match.rlike(f"^{_REGISTERED}"), REGISTERED_SCORE).otherwise(base)
+    near = F.right(before, F.lit(CONTEXT_CHARS)).rlike(words) | after.rlike(words)
+    return alone + F.when(near, bonus).otherwise(0.0)
 
 
-_SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
 
 
 def _spans_of(kind: str, text: Column, matches: Column) -> Column:
     """The confirmed matches of a kind with their places: one pass over what lies between matches, and the matches."""
-    pieces = F.arrays_zip(F.split(text, PATTERNS[kind]).alias("gap"), matches.alias("match"))
     rank = (*BASE_KINDS, *ADDED_KINDS).index(kind)
     scored = kind in ADDED_KINDS
+    columns = [F.split(text, PATTERNS[kind]).alias("gap"), matches.alias("match")]
+    if scored:
+        columns.append(F.regexp_extract_all(text, F.lit(PATTERNS[kind] + _AFTER), F.lit(1)).alias("after"))
+    pieces = F.arrays_zip(*columns)
 
     def step(state: Column, piece: Column) -> Column:
         gap, match = piece["gap"], piece["match"]
         start = state["at"] + F.length(gap)
         end = start + F.coalesce(F.length(match), F.lit(0))
         good = match.isNotNull() & _confirmed(kind, match)
+        score = F.lit(1.0)
         if scored:
-            listed = state["listed"] & gap.rlike(_LIST_GAP)
+            listed = F.when(gap.rlike(_LIST_GAP), state["listed"]).otherwise(0.0)
             before = F.concat(state["before"], F.right(gap, F.lit(CONTEXT_CHARS)))
-            good &= listed | (_score(kind, before) >= THRESHOLD)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
+            score = F.greatest(listed, _score(kind, match, before, piece["after"]))
+            good &= score >= THRESHOLD
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
         found = F.when(good, F.concat(state["found"], F.array(span))).otherwise(state["found"])
         if not scored:
             return F.struct(end.alias("at"), found.alias("found"))
         tail = F.right(F.concat(before, F.coalesce(match, F.lit(""))), F.lit(CONTEXT_CHARS))
-        return F.struct(end.alias("at"), found.alias("found"), tail.alias("before"), good.alias("listed"))
+        return F.struct(end.alias("at"), found.alias("found"), tail.alias("before"), F.when(good, score).otherwise(0.0).alias("listed"))
 
     state = [F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("found")]
-    begin = F.struct(*state, *((F.lit("").alias("before"), F.lit(False).alias("listed")) if scored else ()))
+    begin = F.struct(*state, *((F.lit("").alias("before"), F.lit(0.0).alias("listed")) if scored else ()))
     none = F.array().cast(f"array<{_SPAN}>")
     return F.when(F.size(matches) > 0, F.aggregate(pieces, begin, step, lambda state: state["found"])).otherwise(none)
 
@@ -149,7 +189,7 @@ def _joined(spans: Column) -> Column:
 
 
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``base`` and ``spans`` (arrays of start, rank, end, kind; code points, end exclusive) of every row."""
+    """``doc_id``, ``base`` and ``spans`` (arrays of start, rank, end, kind, score; code points, end exclusive) of every row."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return _with_spans(rows, "text", "base", "spans").select("doc_id", "base", "spans")
 
